@@ -1,8 +1,12 @@
 """Token ids through the tokenizers library, with a table of distinct words.
 
 The tokenizer drops white space before it looks for pieces and none of its rules reaches over a blank or a line feed,
-so a text's ids are those of its words between these, one after the other. Each distinct word is encoded once by the
-library; the table is bounded and starts anew when full, which changes only the time taken.
+so a text's ids are those of its words between these, one after the other. It lower-cases, so words are looked up with
+A-Z lowered (not in texts with `<|`, where special tokens may stand, whose case counts). A word that ends in signs
+after an ASCII letter or digit is that word, then the signs, which are one piece. Each distinct word is encoded once
+by the library; words of letters only are one piece each, whose last id alone is one of a word's end, so that many can
+be encoded as one text and told apart. The table is bounded: when it is full, words not used since it last was go.
+None of this changes an id.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ from functools import cache
 
 import numpy as np
 
-TABLE = 500_000
+#: Words that the table holds (twice as many for a short time), and the longest ones that it keeps.
+TABLE = 400_000
 LONG = 64
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @cache
@@ -28,18 +34,55 @@ class WordTable:
     """Encodes lists of texts to bytes of little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.older = _tokenizer(path), {b"": b""}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The library's ids of words without blanks and line feeds."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, w in enumerate(texts) if w.isalpha()]
+        out: list[bytes | None] = [None] * len(words)
+        for a in range(0, len(plain), 1000):
+            at = plain[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(at) and stops[-1] == len(ids):  # else a word has several pieces
+                raw, cuts = ids.tobytes(), (4 * stops).tolist()
+                for i, s, e in zip(at, [0, *cuts], cuts, strict=False):
+                    out[i] = raw[s:e]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = []
+        for t in texts:
+            raw = (t or "").encode()
+            split.append((raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ").split(b" "))
         if len(self.known) > TABLE:
-            self.known = {}
-        known, rare = self.known, {}
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= LONG else rare)[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {b"": b""}, self.known
+        known, older, rare = self.known, self.older, {}
+        new, ask = [], []
+        for w in set().union(*split).difference(known):
+            got = older.get(w)
+            if got is not None:
+                known[w] = got
+                continue
+            base = w.rstrip(_SIGNS)
+            if base and len(base) < len(w) and b"<|" not in w and base[-1:].isalnum():
+                new.append((w, base, w[len(base) :]))
+                ask += new[-1][1:]
+            else:
+                ask.append(w)
+        fresh = [w for w in dict.fromkeys(ask) if w not in known and w not in older]
+        for w, ids in zip(fresh, self._ids(fresh), strict=True):
+            (known if len(w) <= LONG else rare)[w] = ids
+        find = lambda w: known[w] if w in known else rare[w] if w in rare else older[w]
+        for w, base, signs in new:
+            (known if len(w) <= LONG else rare)[w] = find(base) + find(signs)
         if rare:
             return [b"".join([known[w] if w in known else rare[w] for w in ws]) for ws in split]
         get = known.__getitem__
