@@ -266,7 +266,8 @@ def predict(docs: DataFrame, model: Model, held_out) -> DataFrame:
     def run(batches):
         m = _held(model)
         for b in batches:
-            for i, texts in slices(b.column(2)):
+            for i, part in slices(b.column(2)):
+                texts = part.to_pylist()
                 got, n = m.predict(texts), len(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -285,7 +286,7 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            said = [x for _, texts in slices(b.column(at)) for x in keep(texts)]
+            said = [x for _, part in slices(b.column(at)) for x in keep(part.to_pylist())]
             yield b.filter(pa.array(said, pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -113,7 +113,8 @@ def _apply(docs: DataFrame, path: str, schema: str, made, types: list) -> DataFr
     def run(batches):
         t = table(path)
         for b in batches:
-            for i, texts in slices(b.column(1)):
+            for i, part in slices(b.column(1)):
+                texts = part.to_pylist()
                 rows = [made(ids, t.decode(ids)) for ids in t.encode(texts)]
                 cols = [pa.array([r[c] for r in rows], k) for c, k in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(texts)), *cols], names)

@@ -4,9 +4,9 @@ The tokenizer drops white space before it looks for pieces and none of its rules
 so a text's ids are those of its words between these, one after the other. It lower-cases, so words are looked up with
 A-Z lowered (not in texts with `<|`, where special tokens may stand, whose case counts). A word that ends in signs
 after an ASCII letter or digit is that word, then the signs, which are one piece. Each distinct word is encoded once
-by the library; words of letters only are one piece each, whose last id alone is one of a word's end, so that many can
-be encoded as one text and told apart. The table is bounded: when it is full, words not used since it last was go.
-None of this changes an id.
+by the library: lower-case ASCII words by its model alone, as the steps before it leave them whole; other words of
+letters are one piece each, whose last id alone is one of a word's end, so that many can be encoded as one text and
+told apart. The table is bounded: when it is full, words not used since it last was go. None of this changes an id.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import os
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that the table holds (twice as many for a short time), and the longest ones that it keeps.
 TABLE = 400_000
@@ -41,40 +43,51 @@ class WordTable:
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """The library's ids of words without blanks and line feeds."""
-        texts = [w.decode() for w in words]
-        plain = [i for i, w in enumerate(texts) if w.isalpha()]
-        out: list[bytes | None] = [None] * len(words)
+        model, out = self.tokenizer.model, []
+        rest: list[int] = []
+        for i, w in enumerate(words):
+            if w.isalpha() and w.islower():  # ASCII letters: the normaliser and pre-tokeniser leave them as they are
+                out.append(np.array([t.id for t in model.tokenize(w.decode())], "<u4").tobytes())
+            else:
+                out.append(b"")
+                rest.append(i)
+        texts = [words[i].decode() for i in rest]
+        plain, odd = [], []
+        for i, w in zip(rest, texts, strict=True):
+            (plain if w.isalpha() else odd).append((i, w))
         for a in range(0, len(plain), 1000):
-            at = plain[a : a + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in at])], add_special_tokens=False)[0].ids, "<u4")
+            part = plain[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([w for _, w in part])], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(at) and stops[-1] == len(ids):  # else a word has several pieces
-                raw, cuts = ids.tobytes(), (4 * stops).tolist()
-                for i, s, e in zip(at, [0, *cuts], cuts, strict=False):
-                    out[i] = raw[s:e]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            if len(stops) != len(part) or stops[-1] != len(ids):  # a word has several pieces
+                odd += part
+                continue
+            raw, cuts = ids.tobytes(), (4 * stops).tolist()
+            for (i, _), s, e in zip(part, [0, *cuts], cuts, strict=False):
+                out[i] = raw[s:e]
+        for (i, _), e in zip(odd, self.tokenizer.encode_batch_fast([w for _, w in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            raw = (t or "").encode()
-            split.append((raw if b"<|" in raw else raw.lower()).replace(b"\n", b" ").split(b" "))
+    def _table(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, from the table where it has them."""
         if len(self.known) > TABLE:
             self.known, self.older = {b"": b""}, self.known
         known, older, rare = self.known, self.older, {}
         new, ask = [], []
-        for w in set().union(*split).difference(known):
+        for w in words:
+            if w in known:
+                continue
             got = older.get(w)
             if got is not None:
                 known[w] = got
                 continue
             base = w.rstrip(_SIGNS)
             if base and len(base) < len(w) and b"<|" not in w and base[-1:].isalnum():
-                new.append((w, base, w[len(base) :]))
-                ask += new[-1][1:]
+                signs = w[len(base) :]
+                new.append((w, base, signs))
+                ask.append(base)
+                ask.append(signs)
             else:
                 ask.append(w)
         fresh = [w for w in dict.fromkeys(ask) if w not in known and w not in older]
@@ -83,10 +96,30 @@ class WordTable:
         find = lambda w: known[w] if w in known else rare[w] if w in rare else older[w]
         for w, base, signs in new:
             (known if len(w) <= LONG else rare)[w] = find(base) + find(signs)
-        if rare:
-            return [b"".join([known[w] if w in known else rare[w] for w in ws]) for ws in split]
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        return [known[w] if w in known else rare[w] for w in words] if rare else list(map(known.__getitem__, words))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(col):
+            return []
+        col = pc.fill_null(col, "")
+        special = pc.match_substring(col, "<|")
+        low = pc.ascii_lower(col)
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(special, col, low), "\n", " "), " ")
+        ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        distinct = pc.dictionary_encode(words.flatten())
+        code = np.asarray(distinct.indices)
+        each = self._table(distinct.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        stop = np.cumsum(n)
+        kind = np.int32 if len(n) and max(stop[-1], len(flat)) < 2**31 else np.int64
+        at = np.repeat((begin[code] - stop + n).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        raw = flat[at].tobytes()
+        cuts = (4 * np.concatenate([[0], stop])[ends]).tolist()
+        return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
 
 @cache
@@ -95,7 +128,13 @@ def table(path: str) -> WordTable:
     return WordTable(path)
 
 
-def slices(batch_text, step: int = 512):
-    """A column of texts in lists of so many, so that a batch's texts are not all unpacked at once."""
-    for i in range(0, len(batch_text), step):
-        yield i, batch_text.slice(i, step).to_pylist()
+def slices(col: pa.Array, rows: int = 8192, size: int = 16 << 20):
+    """(first row, part) of a column of texts, in parts of at most so many rows and, but for single texts, bytes."""
+    first, have = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
+        if i > first and (i - first == rows or have + n > size):
+            yield first, col.slice(first, i - first)
+            first, have = i, 0
+        have += n
+    if first < len(col):
+        yield first, col.slice(first)

@@ -254,7 +254,8 @@ def score(docs: DataFrame, model: Scorer, held_out, threshold: float = 0.7) -> D
     def run(batches):
         m = _held(model)
         for b in batches:
-            for i, texts in slices(b.column(2)):
+            for i, part in slices(b.column(2)):
+                texts = part.to_pylist()
                 got, n = m.scores(texts), len(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 

@@ -47,11 +47,11 @@ def write_matrix(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
     a = a.astype(np.uint16) if planes <= 16 else a
     zeros, packed, squeeze = [], [], zstandard.ZstdCompressor(level=1)
     for p in range(planes - 1, -1, -1):
-        bit = (a >> a.dtype.type(p) & a.dtype.type(1)).astype(bool)
+        bit = (a & a.dtype.type(1 << p)) != 0
         packed.append(squeeze.compress(np.packbits(bit).tobytes()))
-        low = a[~bit]
+        low = a.compress(~bit)
         zeros.append(len(low))
-        a = np.concatenate([low, a[bit]])
+        a = np.concatenate([low, a.compress(bit)])
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = _HEAD.pack(MAGIC, len(doc_ids), planes, len(a))
     return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null.tobytes(), np.array(lengths, "<u8").tobytes(), np.array(zeros, "<u8").tobytes(), np.array([len(x) for x in packed], "<u4").tobytes(), *packed])
@@ -159,8 +159,8 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(np.frombuffer(zstandard.decompress(self._packed[p]), np.uint8), count=self.n).view(bool)
             z, out = int(self.zeros[p]), np.empty_like(a)
-            out[~bit] = a[:z]
-            out[bit] = a[z:] | a.dtype.type(1 << (self.planes - 1 - p))
+            out[np.flatnonzero(~bit)] = a[:z]
+            out[np.flatnonzero(bit)] = a[z:] | a.dtype.type(1 << (self.planes - 1 - p))
             a = out
         return a
 
