@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.tokens import LONG, TABLE, slices
+from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import ship
 
 UNIT, DOCS, WORDS, LANGS = 32, 800, 200, 64
@@ -170,6 +170,9 @@ class Model:
     def __getstate__(self):
         return {"key": self.key, "langs": self.langs, "params": self.params, "known": {}, "rows": None, "size": 0}
 
+    def forget(self) -> None:
+        self.known, self.rows, self.size = {}, None, 0
+
     def _run(self, words: list[str]) -> np.ndarray:
         """(words, langs + 1): sums of probabilities over places, and the number of places."""
         out = np.zeros((len(words), len(self.langs) + 1), np.float32)
@@ -226,7 +229,7 @@ def _held(model: Model) -> Model:
     if model.key not in _HELD:
         _HELD.clear()
         _HELD[model.key] = model
-    return _HELD[model.key]
+    return claim(_HELD[model.key])
 
 
 def fit(docs: DataFrame, train_on=None, docs_a_lang: int = DOCS, steps: int = 600, seed: int = 7) -> Model:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.tokens import slices, table
+from strandlog.llm.tokens import PART, slices, table
 from strandlog.runtime import cut, ship
 
 #: Pieces of one hash bucket, on average, within which ranks are counted by sorting.
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Da
     def run(batches):
         words = table(path)
         for b in batches:
-            for i, texts in slices(b.column(1)):
+            for i, texts in slices(b.column(1), *PART):
                 rows = []
                 for d, ids in zip(b.column(0).slice(i, len(texts)).to_pylist(), words.encode(texts), strict=True):
                     ids += tail

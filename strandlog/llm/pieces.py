@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.tokens import LONG, TABLE, slices
+from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import ship
 
 MARK = "▁"
@@ -71,6 +71,9 @@ class PieceTable:
         self.model, self.known = _model(path), {}
         self.lone = str(self.model.piece_to_id(MARK))
 
+    def forget(self) -> None:
+        self.known = {}
+
     def encode(self, texts: list[str | None]) -> list[str]:
         """Each text's ids in decimal, joined by commas."""
         split = [marked_words(t or "") for t in texts]
@@ -90,9 +93,13 @@ class PieceTable:
 
 
 @cache
+def _piece_table(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
 def table(path: str) -> PieceTable:
     """One table for each Python worker and model."""
-    return PieceTable(path)
+    return claim(_piece_table(path))
 
 
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:

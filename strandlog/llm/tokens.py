@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 #: Words that the table holds (twice as many for a short time), and the longest ones that it keeps.
 TABLE = 400_000
 LONG = 64
+#: Rows and bytes of texts that `WordTable.encode` takes best at once.
+PART = (8192, 12 << 20)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -41,6 +43,9 @@ class WordTable:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.known, self.older = {b"": b""}, {}
+
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """The library's ids of words without blanks and line feeds."""
         model, out = self.tokenizer.model, []
@@ -122,13 +127,28 @@ class WordTable:
         return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
 
 
+_LAST: list = []
+
+
+def claim(holder):
+    """Only the table in use stays in a worker: the one used before forgets its words."""
+    if _LAST and _LAST[0] is not holder:
+        _LAST[0].forget()
+    _LAST[:] = [holder]
+    return holder
+
+
 @cache
+def _word_table(path: str) -> WordTable:
+    return WordTable(path)
+
+
 def table(path: str) -> WordTable:
     """One table for each Python worker and tokenizer."""
-    return WordTable(path)
+    return claim(_word_table(path))
 
 
-def slices(col: pa.Array, rows: int = 8192, size: int = 16 << 20):
+def slices(col: pa.Array, rows: int = 512, size: int = 2 << 20):
     """(first row, part) of a column of texts, in parts of at most so many rows and, but for single texts, bytes."""
     first, have = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):

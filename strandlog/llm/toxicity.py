@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.langid import filtered
-from strandlog.llm.tokens import LONG, TABLE, slices
+from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import cut, ship
 
 TOXIC, CLEAN, GRAMS, FEATURES = 4000, 8000, 50_000, 3000
@@ -140,11 +140,14 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def forget(self) -> None:
+        self.known = {}
+
     def _of(self, token: str) -> tuple[str, ...]:
         return tuple(s for s in stems(restore(token, self.chars)) if s in self.weights)
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        if len(self.known) > 2 * TABLE:
+        if len(self.known) > TABLE:
             self.known = {}
         known, out = self.known, []
         for t in texts:
@@ -165,7 +168,7 @@ def _held(model: Scorer) -> Scorer:
     if model.key not in _HELD:
         _HELD.clear()
         _HELD[model.key] = model
-    return _HELD[model.key]
+    return claim(_HELD[model.key])
 
 
 def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.02, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:

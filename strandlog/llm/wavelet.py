@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm import store
-from strandlog.llm.tokens import slices, table
+from strandlog.llm.tokens import PART, slices, table
 from strandlog.runtime import cut, fresh_path, ship, width
 
 MAGIC, WORD = b"WVM1", 512
@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = 2, shard: i
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": name, "docs": len(names), "tokens": have}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for b in batches:
-            for i, texts in slices(b.column(1)):
+            for i, texts in slices(b.column(1), *PART):
                 for d, x in zip(b.column(0).slice(i, len(texts)).to_pylist(), words.encode(texts), strict=True):
                     n = len(x) // 4 + 1
                     if have and have + n > shard:
