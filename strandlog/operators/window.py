@@ -18,7 +18,7 @@ from strandlog.functions import deltas
 from strandlog.functions.distances import Measure
 from strandlog.runtime import ship
 
-SEGMENT = 4096
+SEGMENT = 512
 OPS = "array<struct<position:int,d_length:int,i_length:int,substr:binary>>"
 
 
