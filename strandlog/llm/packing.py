@@ -135,7 +135,7 @@ def assign(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = cut(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = rows.withColumn("inside", inside).join(first, ["length", "bucket"])
+    ranked = rows.withColumn("inside", inside).join(first.hint("merge"), ["length", "bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("inside")).alias("rank"))
     names, at = [*pieces.columns, "sequence_id", "offset"], pieces.columns.index("length")
 
