@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that the table holds (twice as many for a short time), and the longest ones that it keeps.
-TABLE = 400_000
+TABLE = 300_000
 LONG = 64
 #: Rows and bytes of texts that `WordTable.encode` takes best at once.
-PART = (8192, 12 << 20)
+PART = (8192, 6 << 20)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -134,6 +134,7 @@ def claim(holder):
     """Only the table in use stays in a worker: the one used before forgets its words."""
     if _LAST and _LAST[0] is not holder:
         _LAST[0].forget()
+        pa.default_memory_pool().release_unused()
     _LAST[:] = [holder]
     return holder
 
