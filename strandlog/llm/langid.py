@@ -2,8 +2,9 @@
 
 A unit is the lower-cased bytes of a word between white space, with a blank before it (longer ones are cut into units
 of UNIT bytes). The network reads a unit's bytes in both directions and labels every byte's place with a probability
-for each language; a document's probabilities are the means over all places of all its words that hold a letter. As
-units are independent, each distinct word is run once for each worker (a bounded table).
+for each language; a document's probabilities are the means over all places of all its words that hold a letter, a
+word that a text repeats n times weighing as the square root of n, so that a passage repeated over and over does not
+outweigh the rest. As units are independent, each distinct word is run once for each worker (a bounded table).
 
 Training is backpropagation through time with Adam, in float32, on the driver, from a bounded sample: DOCS documents a
 language on average, drawn by a hash of doc_id, and of each up to WORDS words at even distances over the whole text.
@@ -212,7 +213,8 @@ class Model:
             if not ws:
                 out.append(("und", 0.0))
                 continue
-            s = self.rows[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
+            at, n = np.unique(np.fromiter(map(get, ws), np.int64, len(ws)), return_counts=True)
+            s = np.sqrt(n) @ self.rows[at].astype(np.float64)
             best = int(np.argmax(s[:k]))
             out.append((self.langs[best], min(1.0, max(0.0, float(s[best] / s[k])))))
         for w in new:

@@ -10,9 +10,9 @@ Score. A restored word gives its stems as features: the word and its first 4, 5
 logistic regression over presence, on features chosen by log odds; the score is the logistic function of the weights
 that a whole text holds, so that it is 0 to 1 for every text, empty ones included.
 
-Training uses a bounded sample of labelled rows: TOXIC and CLEAN of them on average, drawn by a hash of doc_id, and
-weighted back to the classes' shares; the character model keeps the GRAMS most frequent trigrams, the scorer the
-FEATURES best features.
+Training uses a bounded sample of labelled rows: TOXIC and CLEAN of them on average, drawn by a hash of doc_id, the two
+classes weighing alike; the character model keeps the GRAMS most frequent trigrams, the scorer the FEATURES best of
+the features that at least SEEN toxic texts hold. The bias is then moved so that the threshold parts the sample best.
 
 Edge cases: a null text is empty; null labels are not learned from; of contradicting labels of a doc_id the toxic one
 holds; without labels of both kinds every score is 0.5 or, with one kind, that kind's share smoothed. An empty table
@@ -37,7 +37,7 @@ from strandlog.llm.langid import filtered
 from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import cut, ship
 
-TOXIC, CLEAN, GRAMS, FEATURES = 4000, 8000, 50_000, 3000
+TOXIC, CLEAN, GRAMS, FEATURES, SEEN = 4000, 8000, 50_000, 3000, 5
 #: Letters that a digit or sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "£": "l", "(": "c"}
 #: Costs (in nats) of the channel: a substitution, a dropped sign, a run shortened to two and to one.
@@ -171,7 +171,7 @@ def _held(model: Scorer) -> Scorer:
     return claim(_HELD[model.key])
 
 
-def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.02, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.001, steps: int = 2000, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression over sparse presence features, by Adam."""
     at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(list(chain.from_iterable(rows)), np.int64)
     total = weight.sum()
@@ -187,6 +187,22 @@ def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int
     return x[:n], float(x[n])
 
 
+def calibrated(bias: float, z: np.ndarray, label: np.ndarray, threshold: float) -> float:
+    """The bias with which `threshold` lies where the sample's classes part with the fewest errors.
+
+    It lies a quarter of the way from the last text below that place to the first above; where one side is empty
+    the bias stays.
+    """
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], label[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    ok = np.flatnonzero(np.diff(z) > 0) + 1  # cuts between different values
+    if not len(ok):
+        return bias
+    at = ok[np.argmin(errors[ok])]
+    return bias + math.log(threshold / (1 - threshold)) - (z[at - 1] + (z[at] - z[at - 1]) / 4)
+
+
 def _distinct(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -196,7 +212,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return docs.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean: int = CLEAN, seed: int = 11) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean: int = CLEAN, threshold: float = 0.7, seed: int = 11) -> Scorer:
     """Learn from the labelled rows for which the condition train_on (over doc_id) holds."""
     spark = docs.sparkSession
     ship(spark)
@@ -236,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean:
         return Scorer(uuid.uuid4().hex, chars, {}, math.log((a + 1) / (b + 1)))
     by = derived.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (have[1] + 1.0)) - F.log((F.col("good") + 0.5) / (have[0] + 1.0))
-    best = by.filter("bad >= 3").withColumn("odds", odds).filter("odds > 1").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "stem").limit(FEATURES)
+    best = by.filter(F.col("bad") >= SEEN).withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "stem").limit(FEATURES)
     names = [r["stem"] for r in best.select("stem").collect()]
     at = {s: i for i, s in enumerate(names)}
 
@@ -246,7 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean:
 
     data = sorted((r["toxic"], r["at"]) for r in derived.mapInArrow(pick, "toxic int, at array<int>").collect())
     label = np.array([y for y, _ in data], np.float64)
-    w, bias = regress([x for _, x in data], label, np.where(label > 0, 1 / share[1], 1 / share[0]), len(names))
+    w, bias = regress([x for _, x in data], label, np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label), len(names))
+    z = np.array([bias + sum(w[i] for i in x) for _, x in data])
+    bias = calibrated(bias, z, label, threshold)
     return Scorer(uuid.uuid4().hex, chars, {s: float(x) for s, x in zip(names, w, strict=True) if x}, bias)
 
 
