@@ -7,7 +7,8 @@ word that a text repeats n times weighing as the square root of n, so that a pas
 outweigh the rest. As units are independent, each distinct word is run once for each worker (a bounded table).
 
 Training is backpropagation through time with Adam, in float32, on the driver, from a bounded sample: DOCS documents a
-language on average, drawn by a hash of doc_id, and of each up to WORDS words at even distances over the whole text.
+language on average, drawn by a hash of doc_id, and of each up to WORDS words at even distances over the whole text (LONGEST
+characters of a word at most; only the sample is bounded so, predictions read whole texts).
 At most LANGS languages, the most frequent, are learned.
 
 Edge cases: a null text or one without letters is `und` with score 0; so is everything if no labelled document is
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import ship
 
-UNIT, DOCS, WORDS, LANGS = 32, 800, 200, 64
+UNIT, DOCS, WORDS, LANGS, LONGEST = 32, 800, 200, 64, 256
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -253,7 +254,7 @@ def fit(docs: DataFrame, train_on=None, docs_a_lang: int = DOCS, steps: int = 60
                 ws = [w for w in text.lower().split() if LETTER.search(w)]
                 if ws:
                     lang.append(name)
-                    words.append([w[:256] for w in ws[:: -(-len(ws) // WORDS)]])
+                    words.append([w[:LONGEST] for w in ws[:: -(-len(ws) // WORDS)]])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.list_(pa.string()))], ["lang", "words"])
 
     got = rows.filter(share).select("lang", "text").mapInArrow(run, "lang string, words array<string>").collect()
