@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.functions import bits, codecs, deltas
+from strandlog.functions import bits, codecs, deltas, sql
 from strandlog.functions.columns import bit_width, codeword, cosine_pairs, gram_counts, hex_of_bits, padded_qgrams, qgrams, runs, same_places, second_deltas, signature_distance, with_minhash
 from strandlog.functions.distances import HASHES, PRIME, minhash_params
 from strandlog.operators import blocks
@@ -251,9 +251,22 @@ def position_streams(spark, d):
     return r.select("line_no", "i", F.when(F.col("i") == 0, "first").otherwise("step").alias("kind"), F.coalesce(step, F.col("op.position")).alias("value"))
 
 
+@query()
+def qgram_op_distance(spark, d):
+    """Operation distance of each line and the one before it, by the SQL function."""
+    sql.register(spark)
+    return _previous(event_lines(spark, d)).select("line_no", F.call_function("qgram_distance", "ref", "line").alias("distance"))
+
+
 # Blocks and codecs
 
 
+@query()
+def block_encode(spark, d):
+    """The coded payload of every block."""
+    return blocks.compress(event_lines(spark, d), distance="cosine", threshold=RATE, block_size=1000).select("block_id", "n_lines", "n_delta", "coded_bytes", F.hex("payload").alias("payload_hex"))
+
+
 @query(f"WITH {EV} SELECT line_no, line FROM ev")
 def stream_roundtrip(spark, d):
     return blocks.decompress(blocks.compress(event_lines(spark, d), codec="zstd", distance="cosine", threshold=RATE)).select("line_no", "line")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlog.runtime import read
+from strandlog.runtime import read, ship
 
 EVENT = "concat_ws(' ', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), user_id, event_type, value, props)"
 
@@ -60,13 +63,34 @@ def page_lines(spark: SparkSession, sf_dir: str, column: str = "html") -> DataFr
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files (compressed ones by their suffix), each file a stream, in the order of the file.
 
-    Only line feeds end lines. A file is read whole by one task, as the order of its lines is known there alone.
+    Only line feeds end lines. Large files are read in splits: lines are numbered inside a split as its task reads
+    them, and the lines of a file's earlier splits, counted by a first scan, are added. That table has a row for each
+    split; Spark broadcasts it while it is small by its threshold, and else deals lines by split.
     """
-    df = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), "UTF-8")
-    parts = F.split(text, "\n", -1)
-    kept = F.when(text.endswith("\n"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
-    return df.filter(F.length("content") > 0).select(F.col("path").alias("stream"), F.posexplode(kept).alias("p", "line")).select("stream", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+    ship(spark)
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def number(batches):
+        last, n = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = pc.dictionary_encode(b.column(0)).indices.to_numpy()
+            split = b.column(1).to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (split[1:] != split[:-1])]))
+            size = np.diff(np.append(begin, b.num_rows))
+            before = np.zeros(len(begin), np.int64)
+            if (b.column(0)[0].as_py(), int(split[0])) == last:
+                before[0] = n
+            no = np.arange(1, b.num_rows + 1) - np.repeat(begin - before, size)
+            last, n = (b.column(0)[-1].as_py(), int(split[-1])), int(no[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(no, pa.int64()), b.column(2)], ["stream", "split", "inside", "line"])
+
+    counts = rows.groupBy("stream", "split").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("stream").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("stream", "split", earlier.alias("earlier"))
+    inside = rows.mapInArrow(number, "stream string, split long, inside long, line string")
+    return inside.join(offsets, ["stream", "split"]).select("stream", (F.col("earlier") + F.col("inside")).alias("line_no"), "line")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

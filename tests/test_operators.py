@@ -6,6 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strandlog import cli
+from strandlog.functions import bits, sql
+from strandlog.functions.distances import Measure
 from strandlog.operators import blocks
 from strandlog.operators.window import candidates, nearest, records
 from strandlog.plans import registry
@@ -87,6 +90,61 @@ def test_text_files(spark, stream, tmp_path):
     assert spark.read.parquet(str(tmp_path / "blocks")).count() == 4
 
 
+def test_text_files_in_splits(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = {}
+    for name, n in (("a.log", 700), ("b.log", 3), ("c.log", 250)):
+        want[name] = [f"{name} line {i} " + "é" * (i % 40) if i % 9 else "" for i in range(n)]
+        (tmp_path / "in" / name).write_bytes("\n".join(want[name]).encode() + b"\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "4000", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in sources.text_lines(spark, str(tmp_path / "in")).collect():
+                got.setdefault(r.stream[-5:], []).append((r.line_no, r.line))
+            assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v, 1)) for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in.log").write_text("".join(f"request {i} took {i * i} ms\n" for i in range(500)))
+    made = cli.run(spark, ["compress", "--codec", "zstd", "--distance", "cosine", "--threshold", "0.5", "--block-size", "128", str(tmp_path / "in.log"), str(tmp_path / "blocks")])
+    assert (made["lines"], made["blocks"]) == (500, 4) and made["ratio"] > 1
+    cli.run(spark, ["decompress", str(tmp_path / "blocks"), str(tmp_path / "out")])
+    (part,) = (tmp_path / "out").glob("*/*.txt")
+    assert part.read_text() == (tmp_path / "in.log").read_text()
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["compress", "--codec", "rar", "a", "b"])
+
+
+def test_sql_functions(spark):
+    assert "lines" in sql.register(spark)
+    df = spark.createDataFrame([("the first line", "the second line"), ("", "x"), ("same", "same"), (None, "x"), ("ab", "é\n")], "a string, b string")
+    df.createOrReplaceTempView("pairs_ab")
+    got = spark.sql("select a, b, qgram_cosine(a, b) c, minhash_distance(a, b) m, qgram_distance(a, b) q, minhash_sig(a) s, delta_apply(encode(a, 'UTF-8'), delta_ops(a, b)) n from pairs_ab").collect()
+    for r in got:
+        if r.a is None:
+            assert r.c is None and r.m is None and r.q is None and r.s is None and r.n is None
+            continue
+        x, y = r.a.encode(), r.b.encode()
+        for name, value in (("cosine", r.c), ("minhash", r.m), ("qgram", r.q)):
+            m = Measure(name, 3)
+            assert value == m.between(y, m.prepare(y), x, m.prepare(x))
+        assert bytes(r.n) == y and len(r.s) == 50
+    one = spark.sql("select rle_encode(array(0, 1, 1, 1, 1)) r, bitpack(array(5, 7, 3, 3, 4, 2, 4, 2, 5, 12, 23)) b, ts2diff(array(1, 2, 3)) t").first()
+    assert bytes(one.b) == bytes.fromhex("0529C63208822B2E") and bits.rle_decode(bytes(one.r), 2) == [0, 1, 1, 1, 1] and bits.ts2diff_decode(bytes(one.t)) == [1, 2, 3]
+    assert [tuple(r) for r in spark.sql("select * from lines('a\\n\\nb\\n')").collect()] == [(1, "a"), (2, ""), (3, "b")]
+
+
+def test_operation_distance(spark, sf):
+    m = Measure("qgram", 3)
+    by = {r.line_no: r.line.encode() for r in sources.event_lines(spark, sf).collect()}
+    got = {r.line_no: r.distance for r in registry.QUERIES["qgram_op_distance"](spark, sf).collect()}
+    assert got == {n: m.between(x, None, by[n - 1], None) for n, x in by.items() if n > 1}
+
+
 def test_numbering_is_dense_over_partitions(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 7 == 0, "small").otherwise("large").alias("s"), F.xxhash64("id").alias("o"))
     got = sources.numbered(df, F.col("s"), [F.col("o")], F.col("o").cast("string"))
