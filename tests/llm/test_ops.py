@@ -385,3 +385,35 @@ def test_scan_reads_few(monkeypatch):
     q, i, s = scan(np.array([0]), v[:1], np.arange(3000), v >> 2, v, 5, 2)
     best = sorted((-int(v[0] @ x), k) for k, x in enumerate(v) if k)[:5]
     assert [(-b, a) for a, b in zip(i.tolist(), s.tolist(), strict=True)] == best
+
+
+def test_near_copies(spark):
+    from strandlog.llm import nearcopies as op
+    from strandlog.llm import simhash as bits
+
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [" ".join(r.choice(vocabulary, 200)) for _ in range(12)]
+
+    def edited(text, n):
+        words = text.split()
+        for i in r.choice(len(words), n, replace=False):
+            words[i] = f"new{i}"
+        return " ".join(words)
+
+    texts = [*TEXTS, *base, *(edited(b, n) for b in base for n in (1, 2, 3, 4, 5, 7, 12)), *(edited(base[0], 3) for _ in range(60))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
+    comp = list(range(len(texts)))
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                far += (bits.fingerprint(texts[i], 5) ^ bits.fingerprint(texts[j], 5)).bit_count() > 2
+                x, y = sorted((comp[i], comp[j]))
+                comp = [x if c == y else c for c in comp]
+    assert far > 20  # near copies that two bits of a fingerprint miss
+    kept = op.keep_one(table(spark, texts))
+    assert kept.columns == table(spark, []).columns
+    assert sorted(x.doc_id for x in kept.collect()) == [3 * c + 1 for c in sorted(set(comp))]
+    assert op.keep_one(table(spark, [])).count() == 0
