@@ -11,8 +11,8 @@ logistic regression over presence, on features chosen by log odds; the score is
 that a whole text holds, so that it is 0 to 1 for every text, empty ones included.
 
 Training uses a bounded sample of labelled rows: TOXIC and CLEAN of them on average, drawn by a hash of doc_id, the two
-classes weighing alike; the character model keeps the GRAMS most frequent trigrams, the scorer the FEATURES best of
-the features that at least SEEN toxic texts hold. The bias is then moved so that the threshold parts the sample best.
+classes weighing alike; the scorer keeps the FEATURES best of the features that at least SEEN toxic texts hold. The
+character model counts all trigrams of all texts, labelled or not (a task sends its counts when it has GRAMS of them). The bias is then moved so that the threshold parts the sample best.
 
 Edge cases: a null text is empty; null labels are not learned from; of contradicting labels of a doc_id the toxic one
 holds; without labels of both kinds every score is 0.5 or, with one kind, that kind's share smoothed. An empty table
@@ -212,6 +212,38 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return docs.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
 
 
+def _trigrams(docs: DataFrame) -> DataFrame:
+    """(gram, n) over the words of all texts, a word counting once a text; tasks add up before they send."""
+
+    def batch(c: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
+
+    def run(batches):
+        words, c = Counter(), Counter()
+
+        def spell() -> None:
+            for word, n in words.items():
+                w = word.lower()
+                if w.isalpha():
+                    for g in grams(w):
+                        c[g] += n
+            words.clear()
+
+        for b in batches:
+            for _, part in slices(b.column(0)):
+                for t in part.to_pylist():
+                    words.update(w for w in set(tokens(t)) if len(w) <= LONG)
+                    if len(words) > TABLE:
+                        spell()
+                    if len(c) > GRAMS:
+                        yield batch(c)
+                        c.clear()
+        spell()
+        yield batch(c)
+
+    return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean: int = CLEAN, threshold: float = 0.7, seed: int = 11) -> Scorer:
     """Learn from the labelled rows for which the condition train_on (over doc_id) holds."""
     spark = docs.sparkSession
@@ -226,18 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean:
     rows = text.join(F.broadcast(sample), text["doc"] == sample["doc_id"]).select("toxic", "text")  # the sample's bound: toxic + clean ids
     words = cut(_distinct(rows), "toxic-words")
 
-    def count(batches):
-        for b in batches:
-            c: Counter = Counter()
-            for ws in b.column(1).to_pylist():
-                for w in ws:
-                    w = w.lower()
-                    if w.isalpha() and len(w) <= LONG:
-                        c.update(grams(w))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
-
-    tri = words.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(GRAMS).collect()
-    chars = CharModel({r["gram"]: r["n"] for r in tri})
+    chars = CharModel({r["gram"]: r["n"] for r in _trigrams(docs).collect()})
 
     def derive(batches):
         for b in batches:

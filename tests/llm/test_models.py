@@ -127,3 +127,21 @@ def test_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert sorted(df.columns) == sorted(r.columns)
     assert sorted(map(str, df.select(*r.columns).rdd.map(tuple).collect())) == sorted(map(str, r.fetchall()))
+
+
+def test_character_model_counts_all_texts(spark):
+    from strandlog.llm import toxicity
+
+    wide = np.random.default_rng(1).integers(0x4E00, 0x9000, (15_000, 4))
+    words = " ".join("".join(map(chr, w)) for w in wide)
+    docs = spark.createDataFrame([(1, "idiot words"), (2, "plain words"), (3, "unlabelled zebra zebra"), (4, words), (None, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, F.lit(True))
+    assert model.chars.tri["zeb"] == 1 and model.chars.tri["wor"] == 2
+    assert len(model.chars.tri) > 50_000
+    few = toxicity.GRAMS
+    toxicity.GRAMS = 10
+    try:
+        assert toxicity.fit(docs, marks, F.lit(True)).chars.tri == model.chars.tri
+    finally:
+        toxicity.GRAMS = few
