@@ -1,10 +1,12 @@
 """Toxicity by noisy-channel restoration and a linear scorer.
 
 Restoration. A token's characters span a lattice: a letter stands for itself; a digit or sign may stand for letters
-(LEET) or, if it is no digit, for nothing; runs of three or more of one letter stand for one or two; other signs stand
-for nothing. A Viterbi search finds the cheapest path under a character trigram model (interpolated) plus the costs of
-the channel. Three or more single characters in a row are also read as one spaced-out token. A token without a letter
-restores to nothing.
+(LEET) or, if it is no digit, for nothing; runs of three or more of one letter stand for one or two, two for two or,
+at a higher cost, one; other signs stand for nothing. A Viterbi search finds the cheapest path under a character trigram
+model (interpolated) plus the costs of the channel. Three or more single characters in a row are also read as one
+spaced-out token. A token without a letter or with over two thirds digits may also be a real number, code or sign: that
+reading keeps its letters only and costs a price for each digit, for each change between digits and letters, and that
+of its letters as a word; digits that no letter is written as make the other reading dearer. The cheaper one holds.
 
 Score. A restored word gives its stems as features: the word and its first 4, 5 and 6 letters. Weights come from
 logistic regression over presence, on features chosen by log odds; the score is the logistic function of the weights
@@ -42,8 +44,10 @@ TOXIC, CLEAN, GRAMS, FEATURES, SEEN = 4000, 8000, 50_000, 3000, 5
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "£": "l", "(": "c"}
 #: Costs (in nats) of the channel: a substitution, a dropped sign, a run shortened to two and to one.
 SUBSTITUTE, DROP, TWO, ONE = 1.0, 0.5, 0.5, 0.3
+#: Costs of a doubled letter read as one, and of the reading as a number: at all, a digit, a change to or from letters.
+DOUBLE, PLAIN, DIGIT, CHANGE = 6.0, 2.0, math.log(10), 2.0
 EDGE = "\x02"
-_RUN = re.compile(r"(.)\1\1", re.S)
+_RUN = re.compile(r"(.)\1", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -84,7 +88,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             j += 1
         n = j - i
         if _LETTER.match(c):
-            out += [[(c + c, TWO), (c, ONE)]] if n > 2 else [[(c, 0.0)]] * n
+            out += [[(c + c, TWO), (c, ONE)]] if n > 2 else [[(c + c, 0.0), (c, DOUBLE)]] if n == 2 else [[(c, 0.0)]]
         elif c in LEET:
             ways = [(x, SUBSTITUTE) for x in LEET[c]] + ([("", DROP)] if not c.isdigit() else [])
             out += [ways] * n if n < 3 else [[(x, y + SUBSTITUTE) for x, y in ways] + ([] if c.isdigit() else [("", DROP)])]
@@ -92,17 +96,22 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def plain(w: str, letters: str, digits: int, model: CharModel) -> float:
+    """The cost of a token as a number, code or sign with its letters."""
+    kinds = [c.isdigit() for c in w if c.isdigit() or _LETTER.match(c)]
+    total = PLAIN + DIGIT * digits + CHANGE * sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return total + (sum(model.cost(*g) for g in grams(letters)) if letters else 0.0)
+
+
 def restore(token: str, model: CharModel) -> str:
     """The cheapest word for a token."""
     w = token.lower()
     if w.isalpha() and not _RUN.search(w):
         return w
-    if not _LETTER.search(w):
-        return ""
-    if sum(map(str.isdigit, w)) * 3 > 2 * len(w):  # a number with a unit, a code
-        return "".join(_LETTER.findall(w))
+    own, digits = "".join(_LETTER.findall(w)), sum(map(str.isdigit, w))
     steps = lattice(w)
-    if all(len(s) == 1 for s in steps):
+    number = not own or digits * 3 > 2 * len(w)
+    if not steps or not number and all(len(s) == 1 for s in steps):
         return "".join(s[0][0] for s in steps)
     best: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
     for ways in steps:
@@ -116,7 +125,12 @@ def restore(token: str, model: CharModel) -> str:
                 if s not in after or (total, made + letters) < after[s]:
                     after[s] = total, made + letters
         best = after
-    return min((cost + model.cost(s[0], s[1], EDGE), made) for s, (cost, made) in best.items())[1]
+    cost, word = min((cost + model.cost(s[0], s[1], EDGE), made) for s, (cost, made) in best.items())
+    if number:
+        odd = sum(c.isdigit() and c not in LEET for c in w)
+        if plain(w, own, digits, model) <= cost + odd * (DROP + DIGIT):
+            return own
+    return word
 
 
 def tokens(text: str | None) -> list[str]:

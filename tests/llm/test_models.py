@@ -145,3 +145,18 @@ def test_character_model_counts_all_texts(spark):
         assert toxicity.fit(docs, marks, F.lit(True)).chars.tri == model.chars.tri
     finally:
         toxicity.GRAMS = few
+
+
+def test_restore_digits_signs_and_doubles():
+    from collections import Counter
+
+    from strandlog.llm.toxicity import CharModel, grams, restore
+
+    c = Counter()
+    for w in "idiot moron stupid clown trash the this that loser pathetic silly sissy good moon ass ration station".split() * 20:
+        c.update(grams(w))
+    m = CharModel(c)
+    for raw, want in {"1053r": "loser", "7r45h": "trash", "455": "ass", "$!11y": "silly", "5!55y": "sissy", "iddiot": "idiot", "stuupid": "stupid", "good": "good", "silly": "silly"}.items():
+        assert restore(raw, m) == want, raw
+    for raw in ("2024", "12345", "100", "2024-05-01", "15:30", "$100", "...", "---", "!!!", "$", "555-7713"):
+        assert restore(raw, m) == "", raw
