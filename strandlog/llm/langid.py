@@ -9,7 +9,7 @@ outweigh the rest. As units are independent, each distinct word is run once for
 Training is backpropagation through time with Adam, in float32, on the driver, from a bounded sample: DOCS documents a
 language on average, drawn by a hash of doc_id, and of each up to WORDS words at even distances over the whole text (LONGEST
 characters of a word at most; only the sample is bounded so, predictions read whole texts).
-At most LANGS languages, the most frequent, are learned.
+All languages are learned, so the sample grows with their number.
 
 Edge cases: a null text or one without letters is `und` with score 0; so is everything if no labelled document is
 there; documents with null lang are not learned from; a word may be as long as a text. An empty table gives an empty
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlog.llm.tokens import LONG, TABLE, claim, slices
-from strandlog.runtime import ship
+from strandlog.runtime import cut, ship
 
-UNIT, DOCS, WORDS, LANGS, LONGEST = 32, 800, 200, 64, 256
+UNIT, DOCS, WORDS, LONGEST = 32, 800, 200, 256
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -239,13 +239,12 @@ def fit(docs: DataFrame, train_on=None, docs_a_lang: int = DOCS, steps: int = 60
     """Train on the documents for which the condition train_on holds."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (train_on if train_on is not None else F.lit(True)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    if counts.isEmpty():
         return Model(uuid.uuid4().hex, [], {})
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30))
-    share = F.lit(False)
-    for c in counts:
-        share = share | ((F.col("lang") == c["lang"]) & (draw < int(min(1.0, docs_a_lang / c["n"]) * (1 << 30))))
+    share = F.floor(F.least(F.lit(1.0), F.lit(docs_a_lang) / F.col("n")) * (1 << 30))
+    drawn = rows.select("lang", "text", draw.alias("draw")).join(F.broadcast(counts.select(F.col("lang").alias("name"), share.alias("share"))), (F.col("lang") == F.col("name")) & (F.col("draw") < F.col("share")))
 
     def run(batches):
         for b in batches:
@@ -257,7 +256,7 @@ def fit(docs: DataFrame, train_on=None, docs_a_lang: int = DOCS, steps: int = 60
                     words.append([w[:LONGEST] for w in ws[:: -(-len(ws) // WORDS)]])
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.list_(pa.string()))], ["lang", "words"])
 
-    got = rows.filter(share).select("lang", "text").mapInArrow(run, "lang string, words array<string>").collect()
+    got = drawn.select("lang", "text").mapInArrow(run, "lang string, words array<string>").collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["words"])):
         samples.setdefault(r["lang"], []).extend(r["words"])

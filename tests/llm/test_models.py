@@ -160,3 +160,10 @@ def test_restore_digits_signs_and_doubles():
         assert restore(raw, m) == want, raw
     for raw in ("2024", "12345", "100", "2024-05-01", "15:30", "$100", "...", "---", "!!!", "$", "555-7713"):
         assert restore(raw, m) == "", raw
+
+
+def test_all_languages_are_learned(spark):
+    from strandlog.llm import langid
+
+    docs = spark.createDataFrame([(i, f"word{'x' * (i % 70)} text", f"l{i % 70:02}") for i in range(140)] + [(None, "no lang", None)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, steps=1).langs == [f"l{i:02}" for i in range(70)]
