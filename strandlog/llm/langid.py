@@ -279,6 +279,11 @@ def predict(docs: DataFrame, model: Model, held_out) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def above_chance(langs: int, part: float) -> float:
+    """The score that lies a part of the way from chance, which the best of so many languages always has, to 1."""
+    return 1 / langs + part * (1 - 1 / langs) if langs > 1 else 0.0
+
+
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """docs without those of no known language: `und`, or a score below `least`."""
     return filtered(docs, lambda texts: [lang != "und" and score >= least for lang, score in _held(model).predict(texts)])

@@ -167,3 +167,11 @@ def test_all_languages_are_learned(spark):
 
     docs = spark.createDataFrame([(i, f"word{'x' * (i % 70)} text", f"l{i % 70:02}") for i in range(140)] + [(None, "no lang", None)], "doc_id long, text string, lang string")
     assert langid.fit(docs, steps=1).langs == [f"l{i:02}" for i in range(70)]
+
+
+def test_language_threshold_lies_above_chance():
+    import corpus_pipeline as cp
+    from strandlog.llm.langid import above_chance
+
+    assert all(1 / n < above_chance(n, cp.LEAST_LANGUAGE) < 1 for n in (2, 3, 4, 70))
+    assert above_chance(4, 0.2) == pytest.approx(0.4) and above_chance(1, 0.2) == above_chance(0, 0.2) == 0
