@@ -417,3 +417,11 @@ def test_near_copies(spark):
     assert kept.columns == table(spark, []).columns
     assert sorted(x.doc_id for x in kept.collect()) == [3 * c + 1 for c in sorted(set(comp))]
     assert op.keep_one(table(spark, [])).count() == 0
+
+
+def test_one_row_of_repeated_and_null_ids(spark):
+    from strandlog.llm import nearcopies as op
+
+    a, b, c = ("some words that make up a text of their own number " + x for x in ("one", "two two", "three three three"))
+    kept = op.keep_one(table(spark, [a, a, b, b, b, c, c], [5, 5, 3, 5, None, None, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", a), ("3", b), ("None", c)])
