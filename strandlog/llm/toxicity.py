@@ -8,13 +8,19 @@ spaced-out token. A token without a letter or with over two thirds digits may al
 reading keeps its letters only and costs a price for each digit, for each change between digits and letters, and that
 of its letters as a word; digits that no letter is written as make the other reading dearer. The cheaper one holds.
 
+Signs that stand for no letter are taken off both ends of a token first. Where only one path is left and only one way
+goes on, nothing is to be chosen, and no cost is looked up.
+
 Score. A restored word gives its stems as features: the word and its first 4, 5 and 6 letters. Weights come from
-logistic regression over presence, on features chosen by log odds; the score is the logistic function of the weights
-that a whole text holds, so that it is 0 to 1 for every text, empty ones included.
+logistic regression over presence, on all features that SEEN toxic texts hold and whose log odds are over ODDS, however
+many; the score is the logistic function of the weights that a whole text holds, so that it is 0 to 1 for every text,
+empty ones included.
 
 Training uses a bounded sample of labelled rows: TOXIC and CLEAN of them on average, drawn by a hash of doc_id, the two
-classes weighing alike; the scorer keeps the FEATURES best of the features that at least SEEN toxic texts hold. The
-character model counts all trigrams of all texts, labelled or not (a task sends its counts when it has GRAMS of them). The bias is then moved so that the threshold parts the sample best.
+classes weighing alike. The character model counts all trigrams of all texts, labelled or not (a task sends its counts
+when it has GRAMS of them). The bias is moved so that the threshold parts the sample best by scores that models of
+the other FOLDS - 1 parts of the sample, features included, give each text. SEEN, ODDS and RIDGE were chosen by four-fold
+cross-validation inside learnable rows.
 
 Edge cases: a null text is empty; null labels are not learned from; of contradicting labels of a doc_id the toxic one
 holds; without labels of both kinds every score is 0.5 or, with one kind, that kind's share smoothed. An empty table
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import uuid
 from collections import Counter
 from dataclasses import dataclass, field
@@ -39,7 +46,10 @@ from strandlog.llm.langid import filtered
 from strandlog.llm.tokens import LONG, TABLE, claim, slices
 from strandlog.runtime import cut, ship
 
-TOXIC, CLEAN, GRAMS, FEATURES, SEEN = 4000, 8000, 50_000, 3000, 5
+#: Sampled toxic and clean rows, trigrams that a task holds at once.
+TOXIC, CLEAN, GRAMS = 4000, 8000, 50_000
+#: The least toxic texts and log odds of a feature, the ridge of the regression, the parts of the sample.
+SEEN, ODDS, RIDGE, FOLDS = 3, 1.0, 0.03, 3
 #: Letters that a digit or sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "£": "l", "(": "c"}
 #: Costs (in nats) of the channel: a substitution, a dropped sign, a run shortened to two and to one.
@@ -47,7 +57,11 @@ SUBSTITUTE, DROP, TWO, ONE = 1.0, 0.5, 0.5, 0.3
 #: Costs of a doubled letter read as one, and of the reading as a number: at all, a digit, a change to or from letters.
 DOUBLE, PLAIN, DIGIT, CHANGE = 6.0, 2.0, math.log(10), 2.0
 EDGE = "\x02"
-_RUN = re.compile(r"(.)\1", re.S)
+#: First letters of a word that are features.
+STEMS = (4, 5, 6)
+#: Signs that stand for no letter.
+_SILENT = "".join(sorted(set(string.punctuation) - set(LEET)))
+_RUN = re.compile(r"(.)\1+", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -62,6 +76,7 @@ class CharModel:
             self.bi[g[1:]] += n
             self.one[g[1]] += n
         self.memo: dict[str, float] = {}
+        self.runs: dict[tuple[str, str, str, bool], bool] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
         """-log P(c | a b)."""
@@ -79,6 +94,23 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def doubled(model: CharModel, before: str, c: str, after: str, long: bool) -> bool:
+    """Whether two letters, not one, stay of a run inside a word of letters.
+
+    Whatever is chosen, the letters before and after the run are the same, and after one more letter both paths have the
+    same state; so the cheapest path takes the cheaper way through each run, by its neighbours alone.
+    """
+    key = before, c, after, long
+    got = model.runs.get(key)
+    if got is None:
+        two = (TWO if long else 0.0) + model.cost(before, c, c) + model.cost(c, c, after)
+        one = (ONE if long else DOUBLE) + model.cost(before, c, after)
+        got = two < one or two == one and EDGE != after > c
+        if len(model.runs) < 200_000:
+            model.runs[key] = got
+    return got
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each step, (letters, cost of the channel)."""
     out, i = [], 0
@@ -105,9 +137,17 @@ def plain(w: str, letters: str, digits: int, model: CharModel) -> float:
 
 def restore(token: str, model: CharModel) -> str:
     """The cheapest word for a token."""
-    w = token.lower()
-    if w.isalpha() and not _RUN.search(w):
-        return w
+    w = token.lower().strip(_SILENT)
+    if w.isalpha():
+        if not _RUN.search(w):
+            return w
+        either = lambda m: m[1] * (1 + doubled(model, w[m.start() - 1] if m.start() else EDGE, m[1], w[m.end()] if m.end() < len(w) else EDGE, m.end() - m.start() > 2))
+        return _RUN.sub(either, w)
+    return decoded(w, model)
+
+
+def decoded(w: str, model: CharModel) -> str:
+    """The cheapest path through a token's lattice, by Viterbi's search."""
     own, digits = "".join(_LETTER.findall(w)), sum(map(str.isdigit, w))
     steps = lattice(w)
     number = not own or digits * 3 > 2 * len(w)
@@ -115,6 +155,10 @@ def restore(token: str, model: CharModel) -> str:
         return "".join(s[0][0] for s in steps)
     best: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
     for ways in steps:
+        if len(ways) == 1 and len(best) == 1 and not number:
+            ((state, (_, made)),) = best.items()
+            best = {(state + ways[0][0])[-2:]: (0.0, made + ways[0][0])}
+            continue
         after: dict[str, tuple[float, str]] = {}
         for state, (cost, made) in best.items():
             for letters, price in ways:
@@ -140,7 +184,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 def stems(word: str) -> list[str]:
-    return [f"w:{word}", *(f"p:{word[:k]}" for k in (4, 5, 6) if len(word) >= k)] if word else []
+    return [f"w:{word}", *(f"p:{word[:k]}" for k in STEMS if len(word) >= k)] if word else []
 
 
 @dataclass
@@ -150,26 +194,37 @@ class Scorer:
     weights: dict[str, float]
     bias: float
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    older: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.heads = {s[2 : 2 + min(STEMS)] for s in self.weights}  # all stems of a word begin alike
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "older": {}}
 
     def forget(self) -> None:
-        self.known = {}
+        self.known, self.older = {}, {}
 
     def _of(self, token: str) -> tuple[str, ...]:
-        return tuple(s for s in stems(restore(token, self.chars)) if s in self.weights)
+        word = restore(token, self.chars)
+        return tuple(s for s in stems(word) if s in self.weights) if word[: min(STEMS)] in self.heads else ()
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        if len(self.known) > TABLE:
-            self.known = {}
-        known, out = self.known, []
+        out = []
         for t in texts:
-            words = tokens(t)
-            rare = {}
-            for w in set(words).difference(known):
-                (known if len(w) <= LONG else rare)[w] = self._of(w)
-            held = set(chain.from_iterable(map(known.__getitem__, words) if not rare else (known[w] if w in known else rare[w] for w in words)))
+            if len(self.known) > TABLE // 2:
+                self.known, self.older = {}, self.known
+            known, older, held = self.known, self.older, set()
+            for w in set(tokens(t)):
+                got = known.get(w)
+                if got is None:
+                    got = older.get(w)
+                    if got is None:
+                        got = self._of(w)
+                    if len(w) <= LONG:
+                        known[w] = got
+                if got:
+                    held.update(got)
             z = self.bias + math.fsum(self.weights[s] for s in held)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
         return out
@@ -185,7 +240,7 @@ def _held(model: Scorer) -> Scorer:
     return claim(_HELD[model.key])
 
 
-def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.001, steps: int = 2000, rate: float = 0.2) -> tuple[np.ndarray, float]:
+def regress(rows: list[list[int]], label: np.ndarray, weight: np.ndarray, n: int, ridge: float = RIDGE, steps: int = 300, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression over sparse presence features, by Adam."""
     at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(list(chain.from_iterable(rows)), np.int64)
     total = weight.sum()
@@ -221,32 +276,49 @@ def _distinct(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             words = [sorted(set(tokens(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.string()))], ["toxic", "fold", "words"])
 
-    return docs.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
+    return docs.select("toxic", "text", "fold").mapInArrow(run, "toxic int, fold int, words array<string>")
+
+
+def spelled(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams (codes of 21 bits a character) and their numbers in words that come so many times."""
+    low: Counter = Counter()
+    for w, n in words.items():
+        if w.isalpha():
+            low[w.lower()] += n
+    some = [w for w in low if w.isalpha()]
+    if not some:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a = np.frombuffer((EDGE * 2 + (EDGE * 2).join(some) + EDGE).encode("utf-32-le"), "<u4").astype(np.int64)
+    edge = ord(EDGE)
+    inside = (a[1:-1] != edge) | (a[2:] != edge)  # else the place where a word ended already
+    code = (a[:-2] << 42 | a[1:-1] << 21 | a[2:])[inside]
+    n = np.repeat([low[w] for w in some], [len(w) + 1 for w in some])
+    found, at = np.unique(code, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
 
 
 def _trigrams(docs: DataFrame) -> DataFrame:
     """(gram, n) over the words of all texts, a word counting once a text; tasks add up before they send."""
 
     def batch(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
+        text = ["".join(chr(x >> k & 0x1FFFFF) for k in (42, 21, 0)) for x in c]
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
 
     def run(batches):
         words, c = Counter(), Counter()
 
         def spell() -> None:
-            for word, n in words.items():
-                w = word.lower()
-                if w.isalpha():
-                    for g in grams(w):
-                        c[g] += n
+            code, n = spelled(words)
+            for x, y in zip(code.tolist(), n.tolist(), strict=True):
+                c[x] += y
             words.clear()
 
         for b in batches:
             for _, part in slices(b.column(0)):
                 for t in part.to_pylist():
-                    words.update(w for w in set(tokens(t)) if len(w) <= LONG)
+                    words.update(set(tokens(t)))
                     if len(words) > TABLE:
                         spell()
                     if len(c) > GRAMS:
@@ -258,49 +330,78 @@ def _trigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean: int = CLEAN, threshold: float = 0.7, seed: int = 11) -> Scorer:
+def _chosen(derived: DataFrame, have: dict, seen: int, odds: float) -> list[tuple[str, list[bool]]]:
+    """(stem, whether it is a feature of the whole sample and of the sample without each part), by stem."""
+    count = lambda y, k: F.sum(((F.col("toxic") == y) & (F.col("fold") == k)).cast("int"))
+    by = derived.select("toxic", "fold", F.explode("stems").alias("stem")).groupBy("stem").agg(*[count(y, k).alias(f"n{y}{k}") for y in (0, 1) for k in range(FOLDS)])
+    fits = []
+    for left_out in (None, *range(FOLDS)):
+        ks = [k for k in range(FOLDS) if k != left_out]
+        good, bad = (sum(F.col(f"n{y}{k}") for k in ks) for y in (0, 1))
+        clean, toxic = (sum(have.get((y, k), 0) for k in ks) for y in (0, 1))
+        ratio = F.log((bad + 0.5) / (toxic + 1.0)) - F.log((good + 0.5) / (clean + 1.0))
+        fits.append((bad >= seen) & (ratio > odds))
+    rows = by.select("stem", F.array(*fits).alias("fits")).filter(F.exists("fits", lambda x: x)).collect()
+    return sorted((r["stem"], r["fits"]) for r in rows)
+
+
+def _weights(rows: list[list[int]], label: np.ndarray, use: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """The regression over the features in use, the two classes weighing alike; other features weigh 0."""
+    held = [[i for i in r if use[i]] for r in rows]
+    each = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
+    w, bias = regress(held, label, each, len(use), ridge)
+    return np.where(use, w, 0.0), bias
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_on, toxic: int = TOXIC, clean: int = CLEAN, threshold: float = 0.7, seed: int = 11, seen: int = SEEN, odds: float = ODDS, ridge: float = RIDGE) -> Scorer:
     """Learn from the labelled rows for which the condition train_on (over doc_id) holds."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train_on).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = cut(known.filter(F.col("toxic").isin(0, 1)), "labels")
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train_on).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = cut(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1)), "labels")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, most / max(1, n.get(y, 0))) for y, most in ((1, toxic), (0, clean))}
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30))
     sample = known.filter(draw < F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    rows = text.join(F.broadcast(sample), text["doc"] == sample["doc_id"]).select("toxic", "text")  # the sample's bound: toxic + clean ids
-    words = cut(_distinct(rows), "toxic-words")
+    rows = text.join(F.broadcast(sample), text["doc"] == sample["doc_id"])  # the sample's bound: toxic + clean ids
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc")), F.lit(FOLDS)).cast("int")
+    words = cut(_distinct(rows.select("toxic", "text", fold.alias("fold"))), "toxic-words")
 
     chars = CharModel({r["gram"]: r["n"] for r in _trigrams(docs).collect()})
 
     def derive(batches):
         for b in batches:
-            made = [sorted(set(chain.from_iterable(stems(restore(w, chars)) for w in ws if len(w) <= LONG))) for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], ["toxic", "stems"])
+            made = [sorted(set(chain.from_iterable(stems(restore(w, chars)) for w in ws))) for ws in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.string()))], ["toxic", "fold", "stems"])
 
-    derived = cut(words.mapInArrow(derive, "toxic int, stems array<string>"), "toxic-stems")
-    seen = derived.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    have = {r["toxic"]: r["n"] for r in seen}
-    if not have.get(0) or not have.get(1):
+    derived = cut(words.mapInArrow(derive, "toxic int, fold int, stems array<string>"), "toxic-stems")
+    have = {(r["toxic"], r["fold"]): r["n"] for r in derived.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    if len({y for y, _ in have}) < 2:
         a, b = n.get(1, 0), n.get(0, 0)
         return Scorer(uuid.uuid4().hex, chars, {}, math.log((a + 1) / (b + 1)))
-    by = derived.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (have[1] + 1.0)) - F.log((F.col("good") + 0.5) / (have[0] + 1.0))
-    best = by.filter(F.col("bad") >= SEEN).withColumn("odds", odds).filter("odds > 1.5").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "stem").limit(FEATURES)
-    names = [r["stem"] for r in best.select("stem").collect()]
-    at = {s: i for i, s in enumerate(names)}
+    chosen = _chosen(derived, have, seen, odds)
+    at = {s: i for i, (s, _) in enumerate(chosen)}
+    use = np.array([x for _, x in chosen], bool).reshape(-1, FOLDS + 1)
 
     def pick(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[at[s] for s in ss if s in at] for ss in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "at"])
-
-    data = sorted((r["toxic"], r["at"]) for r in derived.mapInArrow(pick, "toxic int, at array<int>").collect())
-    label = np.array([y for y, _ in data], np.float64)
-    w, bias = regress([x for _, x in data], label, np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label), len(names))
-    z = np.array([bias + sum(w[i] for i in x) for _, x in data])
+            held = [[at[s] for s in ss if s in at] for ss in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.int32()))], ["toxic", "fold", "at"])
+
+    data = sorted((r["fold"], r["toxic"], r["at"]) for r in derived.mapInArrow(pick, "toxic int, fold int, at array<int>").collect())
+    part, label, rows = np.array([k for k, _, _ in data]), np.array([y for _, y, _ in data], np.float64), [x for _, _, x in data]
+    total = lambda w, bias, r: bias + sum(w[i] for i in r)
+    w, bias = _weights(rows, label, use[:, 0], ridge)
+    z = np.array([total(w, bias, r) for r in rows])
+    for k in range(FOLDS):
+        rest = np.flatnonzero(part != k)
+        if len(set(label[rest])) == 2:
+            v, b = _weights([rows[i] for i in rest], label[rest], use[:, k + 1], ridge)
+            for i in np.flatnonzero(part == k):
+                z[i] = total(v, b, rows[i])
     bias = calibrated(bias, z, label, threshold)
-    return Scorer(uuid.uuid4().hex, chars, {s: float(x) for s, x in zip(names, w, strict=True) if x}, bias)
+    return Scorer(uuid.uuid4().hex, chars, {s: float(x) for (s, _), x in zip(chosen, w, strict=True) if x}, bias)
 
 
 def score(docs: DataFrame, model: Scorer, held_out, threshold: float = 0.7) -> DataFrame:

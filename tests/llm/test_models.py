@@ -2,6 +2,7 @@
 
 import os
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,8 +17,8 @@ def test_gradients_match_differences():
     r = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in init(3, size=4, embed=3).items()}
     ids = r.integers(0, 256, (5, 6))
-    mask = np.ones((5, 6, 1))
-    mask[3:, :2] = 0
+    mask = np.ones((5, 1, 6))
+    mask[3:, :, :2] = 0
     label = r.integers(0, 3, 6)
     _, g = gradients(p, ids, mask, label)
     for k in p:
@@ -52,20 +53,58 @@ def test_language(spark):
     assert langid.keep_known(odd, model, 0.0).columns == odd.columns
 
 
-def test_words_alone_equal_words_in_text():
-    from strandlog.llm.langid import Model, init
+def slow_places(p, body):
+    """Probabilities at every place of a byte string, by the formulas of the recurrent unit, one number after the other."""
+    soft = lambda x: x / (1 + abs(x))
+    size, langs = len(p["cf"]), len(p["c"])
+    y = [list(map(float, p["c"])) for _ in body]
+    for d in "fb":
+        h = [0.0] * size
+        for t in range(len(body)) if d == "f" else reversed(range(len(body))):
+            e = p["E"][body[t]].astype(float)
+            x = [sum(e[i] * float(p[f"W{d}"][i, j]) for i in range(len(e))) + float(p[f"b{d}"][j]) for j in range(3 * size)]
+            u = [sum(h[i] * float(p[f"U{d}"][i, j]) for i in range(size)) for j in range(3 * size)]
+            z = [(1 + soft(x[j] + u[j])) / 2 for j in range(size)]
+            r = [(1 + soft(x[size + j] + u[size + j])) / 2 for j in range(size)]
+            new = [soft(x[2 * size + j] + r[j] * (u[2 * size + j] + float(p[f"c{d}"][j]))) for j in range(size)]
+            h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(size)]
+            for k in range(langs):
+                y[t][k] += sum(h[j] * float(p[f"V{d}"][j, k]) for j in range(size))
+    e = np.exp(np.array(y))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_network_against_slow_one(monkeypatch):
+    from strandlog.llm import langid
 
-    m = Model("k", ["a", "b", "c"], init(3))
-    text = "hello wide world 12 x" + " longword" * 9 + " " + "y" * 200
-    weight = np.sqrt([text.split().count(w) for w in dict.fromkeys(text.split())])
-    lang, score = m.predict([text])[0]
-    rows = weight @ m._run(list(dict.fromkeys(text.split()))).astype(float)
-    assert lang == m.langs[int(np.argmax(rows[:3]))] and score == pytest.approx(rows[:3].max() / rows[3], rel=1e-5)
+    m = langid.Model(["a", "b", "c"], langid.init(3, size=4, embed=5))
+    m.params |= {f"b{d}": np.random.default_rng(3).standard_normal(12).astype(np.float32) for d in "fb"}
+    texts = ["Hello wide World", "x", None, "", "12 -", "Größe y " * 9, "é" * 30]
+    for own, lead, wide in ((1000, 64, 2048), (16, 5, 2048), (7, 3, 9)):
+        monkeypatch.setattr(langid, "OWN", own)
+        monkeypatch.setattr(langid, "LEAD", lead)
+        monkeypatch.setattr(langid, "WIDE", wide)
+        for text, (lang, score) in zip(texts, m.predict(texts), strict=True):
+            if text in (None, "", "12 -"):
+                assert (lang, score) == ("und", 0.0)
+                continue
+            body = text.lower().encode()
+            rows = [slow_places(m.params, body[max(0, a - lead) : a + own + lead])[min(a, lead) :][: min(own, len(body) - a)] for a in range(0, len(body), own)]
+            mean = np.concatenate(rows).mean(axis=0)
+            assert sum(map(len, rows)) == len(body)
+            assert lang == m.langs[int(mean.argmax())] and score == pytest.approx(mean.max(), abs=1e-5)
+
+
+def test_visits_reach_the_whole_text():
+    from strandlog.llm.langid import visits
+
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    starts = [text.encode().find(x) for x in visits(text, 7, 400)]
+    assert min(starts) < 500 and max(starts) > 14_000 and all(x >= 0 for x in starts)
+    assert visits("ab", 7, 3) == [b"ab"] * 3
 
 
 def test_restore():
-    from collections import Counter
-
     from strandlog.llm.toxicity import CharModel, grams, restore, tokens
 
     c = Counter()
@@ -77,6 +116,52 @@ def test_restore():
     assert "idiot" in tokens("an i d i o t here") and tokens(None) == []
 
 
+def test_toxicity_in_all_languages(spark):
+    from strandlog.llm import queries
+    from strandlog.runtime import read
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents").select("doc_id", "lang"), read(spark, sf, "labels")
+    got = queries.op8_toxicity(spark, sf).join(labels, "doc_id").join(docs, "doc_id").filter("held_out").collect()
+    found, there = Counter(r.lang for r in got if r.toxic and r.predicted), Counter(r.lang for r in got if r.toxic)
+    assert len(there) == 4 and all(found[x] > 0.8 * n for x, n in there.items()) and found.total() > 0.88 * there.total()
+    assert sum(r.predicted for r in got if r.toxic == 0) < 0.01 * len(got)
+
+
+def paths(token):
+    """(word, steps of letters with their prices) for all ways through a token's lattice."""
+    from strandlog.llm.toxicity import lattice
+
+    def go(steps):
+        if not steps:
+            yield "", 0.0
+            return
+        for rest, cost in go(steps[1:]):
+            for letters, price in steps[0]:
+                yield letters + rest, price + cost
+
+    return go(lattice(token))
+
+
+def test_search_against_all_paths():
+    from strandlog.llm.toxicity import CharModel, decoded, grams, restore
+
+    c = Counter()
+    for w in "idiot moron stupid clown trash the this that loser pathetic silly sissy good moon ass ration station letter committee".split() * 5:
+        c.update(grams(w))
+    m, r = CharModel(c), np.random.default_rng(2)
+    price = lambda w: sum(m.cost(*g) for g in grams(w))
+    for alphabet, most in (("abeilost", 9), ("aelost0135$!@", 7), ("aei10$.-x", 6), ("sst", 8)):
+        for _ in range(150):
+            token = "".join(r.choice(list(alphabet), int(r.integers(1, most))))
+            own, digits = "".join(x for x in token if x.isalpha()), sum(x.isdigit() for x in token)
+            if not own or digits * 3 > 2 * len(token):
+                continue  # may be a number
+            want = min((price(w) + cost, w) for w, cost in paths(token))
+            for got in (decoded(token, m), restore(token, m)) if not token.strip("-.") != token else (decoded(token, m),):
+                assert any(w == got and cost + price(w) == pytest.approx(want[0]) for w, cost in paths(token)), (token, got, want)
+
+
 def test_toxicity(spark):
     from strandlog.llm import queries, toxicity
     from strandlog.runtime import read
@@ -139,6 +224,11 @@ def test_character_model_counts_all_texts(spark):
     model = toxicity.fit(docs, marks, F.lit(True))
     assert model.chars.tri["zeb"] == 1 and model.chars.tri["wor"] == 2
     assert len(model.chars.tri) > 50_000
+    slow = Counter()
+    for text in ("idiot words", "plain words", "unlabelled zebra", words):
+        for w in set(text.split()):
+            slow.update(toxicity.grams(w))
+    assert model.chars.tri == dict(slow)
     few = toxicity.GRAMS
     toxicity.GRAMS = 10
     try:
@@ -148,8 +238,6 @@ def test_character_model_counts_all_texts(spark):
 
 
 def test_restore_digits_signs_and_doubles():
-    from collections import Counter
-
     from strandlog.llm.toxicity import CharModel, grams, restore
 
     c = Counter()
