@@ -1,19 +1,23 @@
 """Document fingerprints by invertible Bloom lookup tables, in SQL functions only.
 
 A text is a set of paragraphs: each line is cut after every WIDE words, and the first FINE_HEAD words of a text after
-every FINE words, so that short texts have several. A paragraph's 64-bit digest goes to one cell in each of three
-sub-tables; a cell holds the count, the XOR of digests and the XOR of their check hashes. Subtracting the table of
-another version leaves the cells of the differing paragraphs. Peeling takes cells that hold one digest (count 1 or -1
-and a fitting check), takes those digests out of their other cells, and goes on until the table is empty; where it is
-not, the sub-tables are made larger and peeling starts anew (SIZES), and a set difference of the digests is the last
-resort. Tables are kept as sorted lists of non-empty cells, and digests are dealt into groups of about GROUP by hash,
-each with a table of its own, so that the work grows with the text's length.
+every FINE words, so that short texts have several. A paragraph's digest is a 64-bit hash. A long text's digests are
+dealt into groups of about GROUP by some of their bits, so that the work grows with its length. A table has three
+sub-tables of 2^i cells each, and a digest goes to one cell of each, by other bits of its own. A cell holds the count, the
+XOR of digests and the XOR of their 32-bit check hashes; only cells that aren't empty are kept, in order. Subtracting a
+table from another merges the two lists. Peeling takes cells that hold one digest (count 1 or -1, a fitting check), takes
+those digests out of their other cells, and goes on until the table is empty.
+
+The fingerprint of a text is its tables, each of the first size at which it peels by itself: cells in hex (place, count,
+digest, check), so that a fingerprint gives back its digests. As sizes are powers of two, a table also folds to a smaller
+one. Two fingerprints are subtracted at the larger one's least size (if one has more groups, the other's digests are
+dealt anew). The cells that are left tell about how many digests differ; where that is too many for the size, both are
+made anew at the size for that number, and again larger when peeling fails (RETRIES). What peels are the digests that only
+one version has. The last resort, the set difference of a group's digests, is counted (`fallbacks`): two digests that
+share all their cells at the largest size lead there. A table that does not peel alone even then lists its digests.
 
 The likeness of two versions is the Jaccard index of their paragraph sets, from the numbers of paragraphs and of
-recovered digests: (a + b - d) / (a + b + d).
-
-The fingerprint column is the smallest table of the whole set, FIXED cells a sub-table: 3 bytes of cell and count and
-8 of digests in hex, cells joined by dots, with the number of paragraphs first.
+recovered digests: (a + b - d) / (a + b + d). It follows from the two fingerprints alone.
 
 Edge cases: null text is empty; an empty text has no paragraph, two of them are alike (1), and an empty and a
 non-empty text are not (0). Equal texts have equal fingerprints; repeated paragraphs count once.
@@ -33,10 +37,15 @@ from pyspark.sql import functions as F
 from strandlog.runtime import cut
 
 WIDE, FINE, FINE_HEAD = 32, 4, 32
-GROUP, SIZES, ROUNDS, FIXED = 24, (8, 32, 128), 12, 4
+#: Digests of a group at most, on average; how much larger tables get when peeling fails, rounds of peeling.
+GROUP, RETRIES, ROUNDS = 64, (1, 2, 4, 16), 12
 BUCKET, QUANTILES = 400, 64
+#: Bits of a digest from which on its places in the three sub-tables are read, bits of a place at most, and the group's first bit.
+PLACES, PLACE_BITS, GROUP_BIT = (10, 22, 34), 12, 46
 
-_CELLS = "array<struct<i:int,n:int,k:bigint,c:bigint>>"
+#: A cell: its place (the sub-table, then PLACE_BITS bits), and the count, digests and checks in it.
+_CELLS = "array<struct<p:int,n:int,k:bigint,c:bigint>>"
+_FOUND = "array<struct<k:bigint,n:int,c:bigint>>"
 
 
 def paragraphs(text: str) -> str:
@@ -44,50 +53,94 @@ def paragraphs(text: str) -> str:
     cuts = lambda t, n: rf"regexp_extract_all({t}, '(?: *[^ \\n]+){{1,{n}}}', 0)"
     head = rf"regexp_extract({text}, '^(?:[ \\n]*[^ \\n]+){{0,{FINE_HEAD}}}', 0)"
     both = f"concat({cuts('h', FINE)}, {cuts(f'substring({text}, length(h) + 1)', WIDE)})"
-    return f"array_sort(array_distinct(transform(transform(array({head}), h -> {both})[0], p -> xxhash64(p))))"
+    return f"sort_array(array_distinct(transform(transform(array({head}), h -> {both})[0], p -> xxhash64(p))))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _check(k: str) -> str:
+    return f"(xxhash64({k}, 7) & 4294967295L)"
+
+
+def _power(x: str, least: int) -> str:
+    """The least power of two that is x or more."""
+    return f"cast(pow(2, ceil(log2(greatest({x}, {least})))) as int)"
+
+
+def groups(n: str) -> str:
+    """The number of groups for n digests."""
+    return f"least({_power(f'{n} / {GROUP}', 1)}, {1 << (64 - GROUP_BIT)})"
+
 
+def _dealt(digests: str, of: str) -> str:
+    """For each of so many groups its entries (digest, count 1, check): by 6 bits first, then by the rest."""
+    entries = f"transform({digests}, d -> named_struct('k', d, 'n', 1, 'c', {_check('d')}))"
+    bits = lambda at, n: f"cast(shiftrightunsigned(e.k, {at}) & ({n} - 1) as int)"
+    part = lambda all_, at, n, name: f"transform(sequence(0, {n} - 1), {name} -> filter({all_}, e -> {bits(at, n)} = {name}))"
+    many = f"flatten(transform({part('en', GROUP_BIT, '64', 'g')}, eg -> {part('eg', GROUP_BIT + 6, f'cast({of} / 64 as int)', 'h')}))"
+    return _let("en", entries, f"if({of} = 1, array(en), if({of} <= 64, {part('en', GROUP_BIT, of, 'g')}, {many}))")
 
-def _placed(digests: str, size: int, sign: str) -> str:
-    """Cells that digests go to, as a list with one entry for each digest and sub-table."""
-    cell = lambda j: f"struct(cast({j * size} + pmod(xxhash64(d, {j + 1}), {size}) as int) as i, cast({sign} as int) as n, d as k, xxhash64(d, 7) as c)"
-    return f"flatten(transform({digests}, d -> array({cell(0)}, {cell(1)}, {cell(2)})))"
+
+def _placed(entries: str, m: str, sign: str = "") -> str:
+    """The cells of m that entries go to, one for each entry and sub-table."""
+    cell = lambda j: f"named_struct('p', cast(shiftrightunsigned(e.k, {PLACES[j]}) & ({m} - 1) as int) + {j << PLACE_BITS}, 'n', {sign}e.n, 'k', e.k, 'c', e.c)"
+    return f"flatten(transform({entries}, e -> array({cell(0)}, {cell(1)}, {cell(2)})))"
 
 
 def _merged(cells: str) -> str:
-    """The list with one entry a cell, without empty ones."""
-    kept = "filter(array(a.cur), z -> z.n != 0 or z.k != 0 or z.c != 0)"
-    start = f"named_struct('done', cast(array() as {_CELLS}), 'cur', named_struct('i', -1, 'n', 0, 'k', 0L, 'c', 0L))"
-    return (
-        f"aggregate(array_sort({cells}), {start}, (a, x) -> if(a.cur.i = x.i, "
-        "named_struct('done', a.done, 'cur', named_struct('i', x.i, 'n', a.cur.n + x.n, 'k', a.cur.k ^ x.k, 'c', a.cur.c ^ x.c)), "
-        f"named_struct('done', concat(a.done, {kept}), 'cur', x)), a -> concat(a.done, {kept}))"
-    )
+    """The list with one entry a cell, in order of place, without empty ones.
+
+    Runs of equal places are cut out and each is added up: what a fold carries along is copied at each step, so the list
+    itself must not be.
+    """
+    first = "filter(transform(e, (x, i) -> if(i = 0, 0, if(e[i - 1].p = x.p, -1, i))), i -> i >= 0)"
+    add = "named_struct('p', x.p, 'n', a.n + x.n, 'k', a.k ^ x.k, 'c', a.c ^ x.c)"
+    total = f"aggregate(slice(e, v + 1, coalesce(get(at, i + 1), size(e)) - v), named_struct('p', 0, 'n', 0, 'k', 0L, 'c', 0L), (a, x) -> {add})"
+    runs = f"filter(transform(at, (v, i) -> if(coalesce(get(at, i + 1), size(e)) - v = 1, e[v], {total})), z -> z.n != 0 or z.k != 0 or z.c != 0)"
+    return _let("e", f"sort_array({cells})", _let("at", first, runs))
 
 
-def _peeled(left: str, right: str, size: int) -> str:
-    """struct(cells that are left, digests only on the left, digests only on the right) for two lists of digests."""
-    table = _merged(f"concat({_placed(left, size, '1')}, {_placed(right, size, '-1')})")
-    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k, 7)), x -> named_struct('k', x.k, 'n', x.n)))"
-    # Each digest is taken out of its three cells, with the sign that it has there.
-    out = lambda j: f"named_struct('i', cast({j * size} + pmod(xxhash64(q.k, {j + 1}), {size}) as int), 'n', -q.n, 'k', q.k, 'c', xxhash64(q.k, 7))"
-    gone = f"flatten(transform(p, q -> array({out(0)}, {out(1)}, {out(2)})))"
-    step = f"named_struct('cells', {_merged(f'concat(s.cells, {gone})')}, 'found', concat(s.found, p))"
-    turn = f"if(size(s.cells) = 0, s, transform(array({pure}), p -> if(size(p) = 0, s, {step}))[0])"
-    start = f"named_struct('cells', {table}, 'found', cast(array() as array<struct<k:bigint,n:int>>))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {turn})"
+def _peeled(cells: str, m: str) -> str:
+    """struct(cells that are left, found digests with the sign of their count, whether the last round found any)."""
+    pure = f"array_distinct(transform(filter(b.cells, x -> abs(x.n) = 1 and x.c = {_check('x.k')}), x -> named_struct('k', x.k, 'n', x.n, 'c', x.c)))"
+    go = f"named_struct('cells', {_merged('concat(b.cells, ' + _placed('pure', m, '-') + ')')}, 'found', concat(b.found, pure), 'on', true)"
+    stop = "named_struct('cells', b.cells, 'found', b.found, 'on', false)"
+    start = f"named_struct('cells', {cells}, 'found', cast(array() as {_FOUND}), 'on', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (b, r) -> if(b.on and size(b.cells) > 0, {_let('pure', pure, f'if(size(pure) = 0, {stop}, {go})')}, b))"
+
+
+def fingerprint(digests: str) -> str:
+    """SQL for a digest list's fingerprint: the number of digests; for each group the size of its table and the cells."""
+    cell = "concat(lpad(hex(x.p), 4, '0'), lpad(hex(x.n), 3, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 8, '0'))"
+    attempt = _let("t", _merged(_placed("l", "m")), f"named_struct('done', size({_peeled('t', 'm')}.cells) = 0, 'm', m, 'cells', t)")
+    start = f"named_struct('done', false, 'm', 0, 'cells', cast(array() as {_CELLS}))"
+    listed = "named_struct('done', true, 'm', 0, 'cells', transform(l, e -> named_struct('p', 0, 'n', 1, 'k', e.k, 'c', e.c)))"
+    sizes = _let("m0", _power("size(l) / 2", 4), f"transform(array{RETRIES}, x -> x * m0)")
+    sized = f"aggregate({sizes}, {start}, (f, m) -> if(f.done, f, {attempt}), f -> if(f.done, f, {listed}))"
+    text = f"concat(hex(f.m), chr(58), array_join(transform(f.cells, x -> {cell}), '.'))"
+    each = f"transform({_dealt(digests, groups(f'size({digests})'))}, l -> {_let('f', sized, text)})"
+    return f"lower(concat(hex(size({digests})), '/', array_join({each}, '/')))"
 
 
 def difference(left: str, right: str) -> str:
-    """SQL for struct(mine, yours): the sorted digests that only one of two digest lists has, by subtract and peel."""
-    deal = lambda name: f"filter({name}, v -> pmod(shiftright(v, 5), g.of) = g.at)"
-    group = f"transform(sequence(0, greatest(1, cast(ceil(greatest(size({left}), size({right})) / {GROUP}) as int)) - 1), n -> named_struct('at', n, 'of', greatest(1, cast(ceil(greatest(size({left}), size({right})) / {GROUP}) as int))))"
-    exact = "named_struct('cells', cast(array() as " + _CELLS + "), 'found', concat(transform(array_except(w.l, w.r), k -> named_struct('k', k, 'n', 1)), transform(array_except(w.r, w.l), k -> named_struct('k', k, 'n', -1))))"
-    tries = exact
-    for size in reversed(SIZES):
-        tries = f"transform(array({_peeled('w.l', 'w.r', size)}), t{size} -> if(size(t{size}.cells) = 0, t{size}, {tries}))[0]"
-    found = f"flatten(transform({group}, g -> transform(array(named_struct('l', {deal(left)}, 'r', {deal(right)})), w -> {tries})[0].found))"
-    side = lambda n: f"array_sort(transform(filter(f, x -> x.n = {n}), x -> x.k))"
-    return f"transform(array({found}), f -> named_struct('mine', {side(1)}, 'yours', {side(-1)}))[0]"
+    """SQL for struct(mine, yours, fallbacks): the sorted digests that only one of two digest lists has, by subtract and peel."""
+    table = lambda m: _merged(f"concat({_placed('w.l', m)}, {_placed('w.r', m, '-')})")
+    # So many cells of m0 in each sub-table are left by about this number of digests.
+    about = "-m0 * ln(greatest(1 - size(t0) / 3.0D / m0, 0.02D))"
+    sizes = f"transform(array{RETRIES}, x -> least(x * if({about} <= 2 * m0, m0, {_power(about + ' / 1.5D', 4)}), {1 << PLACE_BITS}))"
+    attempt = _let("t", _peeled(f"if(m = m0, t0, {table('m')})", "m"), "named_struct('done', size(t.cells) = 0, 'found', t.found, 'last', 0)")
+    side = lambda a, b, n: f"transform(array_except(transform({a}, e -> e.k), transform({b}, e -> e.k)), k -> named_struct('k', k, 'n', {n}, 'c', 0L))"
+    last = f"named_struct('done', true, 'found', concat({side('w.l', 'w.r', '1')}, {side('w.r', 'w.l', '-1')}), 'last', 1)"
+    start = f"named_struct('done', false, 'found', cast(array() as {_FOUND}), 'last', 0)"
+    tries = f"aggregate({sizes}, {start}, (f, m) -> if(f.done, f, {attempt}), f -> if(f.done, f, {last}))"
+    one = _let("m0", _power("greatest(size(w.l), size(w.r)) / 2", 4), _let("t0", table("m0"), tries))
+    most = groups(f"greatest(size({left}), size({right}))")
+    both = _let("of", most, f"zip_with({_dealt(left, 'of')}, {_dealt(right, 'of')}, (l, r) -> named_struct('l', l, 'r', r))")
+    keys = lambda n: f"sort_array(transform(filter(f, x -> x.n = {n}), x -> x.k))"
+    made = f"named_struct('mine', {keys(1)}, 'yours', {keys(-1)}, 'fallbacks', aggregate(u, 0, (a, x) -> a + x.last))"
+    return _let("u", f"transform({both}, w -> {one})", _let("f", "flatten(transform(u, x -> x.found))", made))
 
 
 def likeness(left: str, right: str, diff: str) -> str:
@@ -96,14 +149,8 @@ def likeness(left: str, right: str, diff: str) -> str:
     return f"if({both} = 0, 1.0D, cast({both} - {d} as double) / ({both} + {d}))"
 
 
-def fingerprint(digests: str) -> str:
-    """SQL for the fixed table of a digest list, as a string."""
-    cell = "concat(lpad(hex(z.i), 2, '0'), lpad(hex(z.n), 4, '0'), lpad(hex(z.k), 16, '0'))"
-    return f"lower(concat(hex(size({digests})), '.', array_join(transform({_merged(_placed(digests, FIXED, '1'))}, z -> {cell}), '.')))"
-
-
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) in descending doc_id; null texts are empty."""
+    """(doc_id, text, mine, next_text, following) in descending doc_id, with the digests of both texts; null texts are empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES)], 10_000).alias("at")).first()
     low, high = known["low"] or 0, known["high"] or 0
@@ -123,10 +170,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     edge = heads.groupBy("part").agg(F.min("bucket").alias("lowest"))
     edge = edge.select("part", F.lead("lowest").over(Window.orderBy("part")).alias("above"), F.min("lowest").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("least"))
     sent = cut(heads.withColumn("higher", higher).join(edge, "part").select(F.col("head").alias("key"), F.coalesce("higher", "above", "least").alias("target")), "heads-sent")
-    dealt = rows.join(sent, "key", "left").select("doc_id", "text", "key", F.explode(F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("b"), F.lit(True).alias("ghost")))))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "key", "to.b", "to.ghost")
+    here = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))
+    there = F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("b"), F.lit(True).alias("ghost")))
+    dealt = rows.withColumn("mine", F.expr(paragraphs("text"))).join(sent, "key", "left")
+    dealt = dealt.select("doc_id", "text", "mine", "key", F.explode(F.array_compact(F.array(here, there))).alias("to"))
+    dealt = dealt.select("doc_id", "text", "mine", "key", "to.b", "to.ghost")
     order = Window.partitionBy("b").orderBy("ghost", F.desc("key"), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("ghost")).select("doc_id", "text", "next_text")
+    after = dealt.withColumns({"next_text": F.lead("text").over(order), "following": F.lead("mine").over(order)})
+    return after.filter(~F.col("ghost")).select("doc_id", "text", "mine", "next_text", "following")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -137,17 +188,19 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the lost and new digests."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, fallbacks, lost and new digests."""
     rows = with_next(docs).withColumn("changed", edited(F.col("text"), F.col("next_text")))
     rows = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"),
-        F.expr(paragraphs("text")).alias("mine"),
+        "mine",
         F.expr(paragraphs("changed")).alias("altered"),
-        F.expr(paragraphs("next_text")).alias("following"),
+        "following",
     )
-    rows = rows.withColumns({"d_edited": F.expr(difference("mine", "altered")), "d_next": F.expr(difference("mine", "following"))})
+    # One generated row a document, so that no later projection works the differences out again.
+    both = f"named_struct('d_edited', {difference('mine', 'altered')}, 'd_next', {difference('mine', 'following')})"
+    rows = rows.select("*", F.expr(f"inline(array({both}))"))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -156,6 +209,7 @@ def compare(docs: DataFrame) -> DataFrame:
         F.expr(fingerprint("altered")).alias("edited_fingerprint"),
         F.expr(likeness("mine", "altered", "d_edited")).alias("near_edited"),
         F.expr(likeness("mine", "following", "d_next")).alias("near_next"),
+        (F.col("d_edited.fallbacks") + F.col("d_next.fallbacks")).alias("fallbacks"),
         F.col("d_edited.mine").alias("lost"),
         F.col("d_edited.yours").alias("gained"),
     )

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -166,6 +168,30 @@ def cut_paragraphs(text):
     return set(re.findall(r"(?: *[^ \n]+){1,4}", h)) | set(re.findall(r"(?: *[^ \n]+){1,32}", rest))
 
 
+def digests_of(fingerprint):
+    """The digests that a fingerprint's tables peel to, one cell after the other."""
+    n, *tables = fingerprint.split("/")
+    out = set()
+    for t in tables:
+        size, cells = t.split(":")
+        size = int(size, 16)
+        table = {}
+        for c in filter(None, cells.split(".")):
+            table[int(c[:4], 16) if size else len(table)] = [int(c[4:7], 16), int(c[7:23], 16), int(c[23:], 16)]
+        if not size:
+            out |= {k for _, k, _ in table.values()}
+            continue
+        while table:
+            k, check = next((k, c) for m, k, c in table.values() if m == 1)
+            out.add(k)
+            for j, bit in enumerate((10, 22, 34)):
+                cell = table[j << 12 | k >> bit & size - 1]
+                cell[0], cell[1], cell[2] = cell[0] - 1, cell[1] ^ k, cell[2] ^ check
+            table = {p: c for p, c in table.items() if any(c)}
+    assert len(out) == int(n, 16)
+    return out
+
+
 def test_fingerprints(spark):
     from strandlog.llm import iblt
 
@@ -182,6 +208,11 @@ def test_fingerprints(spark):
         assert r["near_edited"] == pytest.approx(jac(cut_paragraphs(a), cut_paragraphs(e))), d
         assert r["near_next"] == pytest.approx(jac(cut_paragraphs(a), cut_paragraphs(b))), d
         assert len(r["lost"]) == len(cut_paragraphs(a) - cut_paragraphs(e)) and len(r["gained"]) == len(cut_paragraphs(e) - cut_paragraphs(a))
+        # the likeness follows from the fingerprints alone
+        mine, changed, after = (digests_of(f) for f in (r["fingerprint"], r["edited_fingerprint"], got[ids[(i + 1) % len(ids)]]["fingerprint"]))
+        assert len(mine) == len(cut_paragraphs(a))
+        assert r["near_edited"] == pytest.approx(jac(mine, changed)) and r["near_next"] == pytest.approx(jac(mine, after))
+        assert {x % (1 << 64) for x in r["lost"]} == mine - changed and {x % (1 << 64) for x in r["gained"]} == changed - mine
     assert got[37]["fingerprint"] == got[40]["fingerprint"] and got[1]["fingerprint"] != got[4]["fingerprint"]
     assert iblt.compare(table(spark, [])).count() == 0
     assert iblt.compare(table(spark, ["one only"])).first()["near_next"] == 1.0
@@ -189,6 +220,22 @@ def test_fingerprints(spark):
     assert {(r.text, r.next_text) for r in odd} == {("d", "a"), ("a", "b"), ("b", "c"), ("c", "d")}
 
 
+def test_differences_of_any_size(spark):
+    """Few and many differing digests, several groups, and digests that share all their cells."""
+    from strandlog.llm import iblt
+
+    r = random.Random(4)
+    some = [r.getrandbits(64) - (1 << 63) for _ in range(700)]
+    twin = [x & ~(((1 << 36) - 1) << 10) | 5 << 10 | i for i, x in enumerate(some[:3])]
+    cases = [([], []), (some[:1], []), (some[:50], some[1:50]), (some[:60], some[60:120]), (some[:500], some[3:510]), (some[:300], some[300:]), (some[:2], some), (twin, some[:5]), (twin[:2], twin[1:])]
+    rows = spark.createDataFrame([(i, sorted(a), sorted(b)) for i, (a, b) in enumerate(cases)], "i int, a array<long>, b array<long>")
+    got = {x.i: x for x in rows.select("i", F.expr(iblt.difference("a", "b")).alias("d"), F.expr(iblt.fingerprint("a")).alias("f")).collect()}
+    for i, (a, b) in enumerate(cases):
+        assert (set(got[i].d.mine), set(got[i].d.yours)) == (set(a) - set(b), set(b) - set(a)), i
+        assert digests_of(got[i].f) == {x % (1 << 64) for x in a}, i
+        assert (got[i].d.fallbacks > 0) == (i in (7, 8)), i
+
+
 def test_next_over_many_buckets(spark, monkeypatch):
     from strandlog.llm import iblt
 
