@@ -40,7 +40,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vafile.top_k(read(spark, sf_dir, "embeddings"))
+    return vafile.top_k(read(spark, sf_dir, "embeddings")).drop("exact_reads")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
