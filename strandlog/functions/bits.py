@@ -77,44 +77,55 @@ def bitpack_decode(data: bytes, n: int) -> list[int]:
     return unpack(data[1:], data[0], n).tolist() if n else []
 
 
+#: Bit of the number of blocks that says that first values and least deltas take 64 bits each, not 32.
+_WIDE = 1 << 31
+
+
 def ts2diff_encode(values: list[int]) -> bytes:
     """The number of blocks, then for each 64 values: the first, the least delta, their count, a width, the deltas less the least.
 
-    Blocks end on whole bytes, blocks of one value too. Values and deltas must fit 32 bits with sign.
+    Blocks end on whole bytes, blocks of one value too. First values and least deltas take 32 bits with sign; a list
+    with a value or delta beyond that takes 64 for each and sets the highest bit of the number of blocks. Values and
+    deltas must fit 64 bits with sign.
     """
-    out = [(-(-len(values) // BLOCK)).to_bytes(4, "big")]
-    for i in range(0, len(values), BLOCK):
-        v = [int(x) for x in values[i : i + BLOCK]]
-        d = [b - a for a, b in zip(v, v[1:], strict=False)]
-        if any(not -(2**31) <= x < 2**31 for x in (*v, *d)):
-            raise ValueError("a value or delta does not fit 32 bits")
+    v = [int(x) for x in values]
+    steps = [b - a for a, b in zip(v, v[1:], strict=False)]
+    if any(not -(2**63) <= x < 2**63 for x in (*v, *steps)):
+        raise ValueError("a value or delta does not fit 64 bits")
+    size = 4 if all(-(2**31) <= x < 2**31 for x in (*v, *steps)) else 8
+    out = [(-(-len(v) // BLOCK) | (_WIDE if size == 8 else 0)).to_bytes(4, "big")]
+    for i in range(0, len(v), BLOCK):
+        d = steps[i : min(i + BLOCK, len(v)) - 1]
         low = min(d, default=0)
-        bits = format(v[0] & 0xFFFFFFFF, "032b") + format(low & 0xFFFFFFFF, "032b") + format(len(d), "012b")
-        if d:
-            width = max(1, (max(d) - low).bit_length())
-            bits += format(width, "08b") + "".join(format(x - low, f"0{width}b") for x in d)
-        out.append(_bytes(bits))
+        head = v[i].to_bytes(size, "big", signed=True) + low.to_bytes(size, "big", signed=True)
+        if not d:
+            out.append(head + b"\0\0")
+            continue
+        width = max(1, (max(d) - low).bit_length())
+        out.append(head + _bytes(f"{len(d):012b}{width:08b}" + "".join(format(x - low, f"0{width}b") for x in d)))
     return b"".join(out)
 
 
 def ts2diff_decode(data: bytes) -> list[int]:
     blocks, at, out = int.from_bytes(data[:4], "big"), 4, []
+    size = 8 if blocks & _WIDE else 4
     signed = lambda b: int.from_bytes(b, "big", signed=True)
-    for _ in range(blocks):
-        if len(data) < at + 10:
+    for _ in range(blocks & ~_WIDE):
+        if len(data) < at + 2 * size + 2:
             raise ValueError("deltas are cut short")
-        first, low = signed(data[at : at + 4]), signed(data[at + 4 : at + 8])
-        n = int.from_bytes(data[at + 8 : at + 10], "big") >> 4
+        first, low = signed(data[at : at + size]), signed(data[at + size : at + 2 * size])
+        at += 2 * size
+        n = int.from_bytes(data[at : at + 2], "big") >> 4
         out.append(first)
         if not n:
-            at += 10
+            at += 2
             continue
-        width = (int.from_bytes(data[at + 9 : at + 11], "big") >> 4) & 0xFF
-        size = -(-(84 + width * n) // 8)
-        bits = _bits(data[at : at + size])
-        if len(bits) < 84 + width * n:
+        width = (int.from_bytes(data[at + 1 : at + 3], "big") >> 4) & 0xFF
+        total = -(-(20 + width * n) // 8)
+        bits = _bits(data[at : at + total])
+        if len(bits) < 20 + width * n:
             raise ValueError("deltas are cut short")
         for k in range(n):
-            out.append(out[-1] + low + int(bits[84 + k * width : 84 + (k + 1) * width], 2))
-        at += size
+            out.append(out[-1] + low + int(bits[20 + k * width : 20 + (k + 1) * width], 2))
+        at += total
     return out

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections import Counter, deque
 
 Op = tuple[int, int, bytes]
+#: Cells of the table of `exact` at most.
+EXACT_CELLS = 1 << 18
 
 
 def apply(ops: list[Op], old: bytes) -> bytes:
@@ -94,7 +96,12 @@ def _reach(old: bytes, new: bytes, x: int, y: int, most: int):
 
 
 def exact(old: bytes, new: bytes, most: int = 3) -> tuple[list[Op], float]:
-    """(script, cost) of least cost: 3 for each substitution and 1 for each new byte; equal bytes are always kept."""
+    """(script, cost) of least cost: 3 for each substitution and 1 for each new byte; equal bytes are always kept.
+
+    The work grows with more than the square of the length: pairs of more than EXACT_CELLS bytes by bytes raise ValueError.
+    """
+    if len(old) * len(new) > EXACT_CELLS:
+        raise ValueError(f"strings of {len(old)} and {len(new)} bytes are too long for exact scripts; use approximate ones")
     if old == new:
         return [], 0.0
     if not old or not new:

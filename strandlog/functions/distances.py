@@ -58,6 +58,53 @@ def minhash(line: bytes) -> np.ndarray:
     return ((a * h + b) % np.uint64(PRIME)).min(axis=1).astype(np.int64)
 
 
+def _windows(lines: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, q-gram packed into 64 bits) of all q-grams of all lines, in order; q is 8 at most."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    n = max(0, len(data) - q + 1)
+    code = np.zeros(n, np.uint64)
+    for j in range(q):
+        code = code << np.uint64(8) | data[j : j + n]
+    row = np.repeat(np.arange(len(lines)), size)[:n]
+    inside = np.arange(n) + q <= np.cumsum(size)[row] if n else np.zeros(0, bool)
+    return row[inside], code[inside]
+
+
+def _minhash_some(lines: list[bytes]) -> np.ndarray:
+    out = np.full((len(lines), HASHES), -1, np.int64)
+    row, code = _windows(lines, 3)
+    if len(row):
+        a, b = _arrays()
+        known, at = np.unique(code, return_inverse=True)
+        c = [known >> np.uint64(k) & np.uint64(255) for k in (16, 8, 0)]
+        h = ((np.uint64(5381 * 33) + c[0]) * np.uint64(33) + c[1]) * np.uint64(33) + c[2]
+        table = np.ascontiguousarray(((a * h + b) % np.uint64(PRIME)).T.astype(np.int64))
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[begin]] = np.minimum.reduceat(table[at], begin, axis=0)
+    return out
+
+
+def minhash_many(lines: list[bytes], most: int = 1 << 16) -> np.ndarray:
+    """(lines, 50): `minhash` of each; every distinct 3-gram of about so many bytes of lines is hashed once."""
+    out, first, size = [np.empty((0, HASHES), np.int64)], 0, 0
+    for i, line in enumerate([*lines, None]):
+        if i > first and (line is None or size + len(line) > most):
+            out.append(_minhash_some(lines[first:i]) if size <= most else minhash(lines[first])[None])
+            first, size = i, 0
+        size += len(line or b"")
+    return np.concatenate(out)
+
+
+def gram_matrix(lines: list[bytes], q: int, most: int = 1 << 22) -> np.ndarray | None:
+    """(lines, distinct q-grams): how often each line has each; None if that were more numbers than `most`."""
+    row, code = _windows(lines, q)
+    known, at = np.unique(code, return_inverse=True)
+    if len(lines) * len(known) > most:
+        return None
+    return np.bincount(row * len(known) + at, minlength=len(lines) * len(known)).reshape(len(lines), len(known)).astype(np.float64)
+
+
 def grams(line: bytes, q: int) -> Counter:
     return Counter(line[i : i + q] for i in range(len(line) - q + 1))
 

@@ -313,8 +313,8 @@ for _codec in ("none", "lzma", "gzip", "zstd", "bz2"):
 @query(f"WITH {EV} SELECT line FROM ev")
 def codec_roundtrip_lz4(spark, d):
     path = fresh_path(spark, "lz4")
-    event_lines(spark, d).select("line").write.option("compression", "lz4").text(path)
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    event_lines(spark, d).select("line").write.option("compression", "lz4").option("lineSep", "\n").text(path)
+    return spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
 
 
 # Column codecs; the series are each user's events in order

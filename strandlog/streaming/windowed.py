@@ -26,19 +26,19 @@ def nearest_stream(lines: DataFrame, window: int = 8, distance: str = "minhash",
     measure = Measure(distance, q)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get[0] if state.exists else []
-        queue = deque(((x, measure.prepare(x)) for x in kept), maxlen=window)
+        kept, numbers = state.get if state.exists else ([], [])
+        queue = deque(((x, measure.prepare(x), n) for x, n in zip(kept, numbers, strict=True)), maxlen=window)
         out = []
         rows = pd.concat(list(frames)).sort_values("line_no")
         for no, text in zip(rows["line_no"].tolist(), rows["line"].tolist(), strict=True):
             line = (text or "").encode()
             mine = measure.prepare(line)
             begin, d = choose(line, queue, measure, mine)
-            out.append((key[0], no, begin, no - len(queue) + begin if begin >= 0 else None, d, begin >= 0 and d < threshold))
-            queue.append((line, mine))
-        state.update(([x for x, _ in queue],))
+            out.append((key[0], no, begin, queue[begin][2] if begin >= 0 else None, d, begin >= 0 and d < threshold))
+            queue.append((line, mine, no))
+        state.update(([x for x, _, _ in queue], [n for _, _, n in queue]))
         made = pd.DataFrame(out, columns=["stream", "line_no", "begin", "ref_no", "distance", "is_match"])
         made["ref_no"] = made["ref_no"].astype("Int64")
         yield made
 
-    return lines.groupBy("stream").applyInPandasWithState(step, OUTPUT, "lines array<binary>", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("stream").applyInPandasWithState(step, OUTPUT, "lines array<binary>, numbers array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -41,7 +41,7 @@ def test_ts2diff_sizes(n):
     for v in ([i % 100 for i in range(n)], [-100 if i % 2 else 100 for i in range(n)], [2 * i for i in range(n)], [(i * 7919) % 1000 - 500 for i in range(n)]):
         assert bits.ts2diff_decode(bits.ts2diff_encode(v)) == v
     with pytest.raises(ValueError):
-        bits.ts2diff_encode([2**31])
+        bits.ts2diff_encode([2**63])
 
 
 @given(st.lists(st.integers(-(2**30), 2**30), max_size=200))
@@ -110,3 +110,37 @@ def test_damaged_block():
     for bad in (data[:-1], data[:-5] + bytes([data[-5] ^ 1]) + data[-4:], b""):
         with pytest.raises(ValueError):
             blocks.decode(bad)
+
+
+def test_wide_deltas():
+    from strandlog.functions.bits import ts2diff_decode, ts2diff_encode
+
+    for v in ([2**31], [0, 2**31 - 1, -(2**31)], [2**62, 0, 5], list(range(2**31 - 40, 2**31 + 90)), [-(2**63) + 1, -1]):
+        assert ts2diff_decode(ts2diff_encode(v)) == v
+    assert ts2diff_encode([1, 2, 3])[:4] == b"\0\0\0\1"
+    with pytest.raises(ValueError):
+        ts2diff_encode([2**63])
+    with pytest.raises(ValueError):
+        ts2diff_decode(ts2diff_encode([2**40, 1, 2])[:-1])
+
+
+def test_exact_scripts_refuse_long_strings():
+    from strandlog.functions.deltas import exact
+
+    with pytest.raises(ValueError, match="too long"):
+        exact(b"a" * 1000, b"b" * 1000)
+
+
+def test_many_signatures_equal_one_by_one():
+    import numpy as np
+
+    from strandlog.functions.distances import gram_matrix, grams, minhash, minhash_many
+
+    r = np.random.default_rng(3)
+    lines = [bytes(r.integers(97, 101, int(n)).tolist()) for n in r.integers(0, 60, 300)] + [b"", b"ab", b"abc", b"x" * 500, b"\xff\x00\xfe" * 9]
+    for most in (1 << 16, 100, 1):
+        assert (minhash_many(lines, most) == np.array([minhash(x) for x in lines])).all()
+    for q in (1, 3, 8):
+        m = gram_matrix(lines, q)
+        assert m.sum() == sum(max(0, len(x) - q + 1) for x in lines) and (m @ m.T)[3, 7] == sum(n * grams(lines[7], q)[g] for g, n in grams(lines[3], q).items())
+    assert gram_matrix(lines, 3, 10) is None

@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,32 @@ def test_query(spark, sf, duck, name):
     want = duck.sql(registry.ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(map(cells, df.select(*want.columns).collect())) == sorted(map(cells, want.fetchall()))
+
+
+def test_gaps_nulls_and_pieces(spark, monkeypatch):
+    """Line numbers with gaps name lines that exist; a null line is an empty one; pieces of any size give the same."""
+    from strandlog.functions.distances import Measure
+    from strandlog.operators import window as w
+
+    gaps = spark.createDataFrame([("s", 10, "one line here"), ("s", 20, "another one"), ("s", 30, "one line here"), ("s", 40, None)], "stream string, line_no long, line string")
+    for distance in ("minhash", "cosine", "qgram"):
+        got = {r.line_no: r for r in w.nearest(w.dense(gaps), 8, distance, threshold=0.5).collect()}
+        assert got[3].ref_no == 1 and got[3].begin == 0 and not got[4].is_match
+        wide = {r.line_no: r for r in w.nearest(gaps, 40, distance, threshold=0.5).collect()}
+        assert wide[30].ref_no == 10 and wide[30].begin == 0
+        assert {r.line_no: r.ref_no for r in w.records(gaps, 40, distance, threshold=0.5).collect()}[30] == 10
+
+    words = ["alpha beta", "alpha beta gamma", "", "beta", "ab", "alpha bet", "long " * 300, "alpha beta"]
+    rows = [(s, i, False, False, words[(i * i + len(s)) % len(words)].encode()) for s in ("a", "bb") for i in range(1, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1] for r in rows]), pa.array([False] * len(rows)), pa.array([r[4] for r in rows])], ["stream", "seg", "line_no", "context", "line"])
+    for name, q in (("minhash", 3), ("minhash", 2), ("cosine", 3), ("cosine", 1)):
+        measure = Measure(name, q)
+        want = []
+        for stream, _, no, _, line, queue, mine in w.scan([batch], 7, measure):
+            begin, d = w.choose(line, queue, measure, mine)
+            want.append((stream, no, begin, queue[begin][2] if begin >= 0 else None, d, begin >= 0 and d < 0.4))
+        for size, short in ((512, 1 << 18), (5, 1 << 18), (1, 0), (512, 0)):
+            monkeypatch.setattr(w, "ROWS", size)
+            monkeypatch.setattr(w, "SHORT", short)
+            assert list(w._nearest_by_piece([batch.slice(0, 31), batch.slice(31)], 7, measure, 0.4)) == want, (name, q, size)
+    assert w.segment_size(8) == 512 and w.segment_size(65535) >= 8 * 65535
