@@ -5,8 +5,9 @@ a power-of-two width; cells give, for every query, an upper and a lower bound of
 the cells' middles, plus or minus half a cell's width times the sum of the query's magnitudes. The exact vectors lie in
 another table, a row for each.
 
-Scan: blocks of cells meet blocks of queries, and a candidate leaves a block if its upper bound reaches the block's k-th
-best lower bound. Of these, those below the k-th best lower bound over all blocks go. Read: for each query the exact
+Scan: blocks of cells meet blocks of queries; a task carries each query's k best lower bounds from block to block, and a
+candidate leaves a block if its upper bound reaches the k-th of them. Of these, those below the k-th best lower bound
+over all blocks go. Read: for each query the exact
 vectors of the READ * k candidates of the highest upper bounds (the smallest, as distances) are read; then the rest of
 those whose upper bound reaches the k-th best exact score, after which no other can be among the k best. Vectors that
 are no candidate are never read exactly; `exact_reads` tells how many were, for each query.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from strandlog.runtime import cut, ship
 
 #: Vectors of a block, queries of a query block, queries that are scanned at once, blocks of a group.
-BLOCK, QUERIES, STEP, GROUP = 8192, 16384, 256, 4
+BLOCK, QUERIES, STEP, GROUP = 8192, 16384, 256, 16
 #: Candidates of a query whose exact vectors are read first, in multiples of k.
 READ = 2
 
@@ -100,9 +101,12 @@ def _exact(rows: DataFrame, scale: int) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, exact binary, row long")
 
 
-def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, k: int, cell: int):
-    """(query position, place in the block, upper bound, lower bound) of a block's candidates for each query."""
-    wide = float(1 << cell)
+def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, best: np.ndarray, cell: int):
+    """(query position, place in the block, upper bound, lower bound) of a block's candidates for each query.
+
+    best (queries, k) holds the highest lower bounds of the blocks before, -inf where there are fewer; it is brought up to date.
+    """
+    wide, k = float(1 << cell), best.shape[1]
     middle = (cells.astype(np.float64) + 0.5) * wide - 0.5  # integers of a cell: low * w .. low * w + w - 1
     out = []
     for a in range(0, len(q), STEP):
@@ -111,7 +115,10 @@ def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, cells: np.ndarray, k
         centre = part @ middle.T
         centre[q_ids[a : a + STEP, None] == ids[None, :]] = -np.inf
         kk = min(k, centre.shape[1])
-        floor = np.partition(centre, centre.shape[1] - kk, axis=1)[:, [centre.shape[1] - kk]] - slack  # k-th best lower bound
+        low = np.partition(centre, centre.shape[1] - kk, axis=1)[:, centre.shape[1] - kk :] - slack
+        top = np.concatenate([best[a : a + STEP], low], axis=1)
+        best[a : a + STEP] = np.partition(top, kk, axis=1)[:, kk:]
+        floor = best[a : a + STEP].min(axis=1, keepdims=True)
         r, c = np.nonzero((centre + slack >= floor) & (centre > -np.inf))
         out.append((r + a, c, centre[r, c] + slack[r, 0], centre[r, c] - slack[r, 0]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -145,14 +152,17 @@ def candidates(rows: DataFrame, queries: DataFrame, k: int, scale: int, cell: in
     left = blocks.select(F.explode(F.lit(names).cast("array<long>")).alias("ask"), group.alias("group"), "block", "dim", "ids", "vectors")
     right = asks.select(F.col("block").alias("ask"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
     right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("group"))
-    both = left.hint("merge").join(right, ["ask", "group"]).filter("dim = q_dim").select("block", "dim", "ids", "vectors", "q_ids", "q")
+    both = left.hint("merge").join(right, ["ask", "group"]).filter("dim = q_dim").select("ask", "block", "dim", "ids", "vectors", "q_ids", "q")
 
     def run(batches):
+        last, best = None, None
         for b in batches:
-            for block, dim, *raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for ask, block, dim, *raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, q_ids = np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[2], "<i8")
                 cells = np.frombuffer(raw[1], "<i1" if len(raw[1]) == len(ids) * dim else "<i4").reshape(-1, dim)
-                at, place, upper, lower = scan(q_ids, np.frombuffer(raw[3], "<i4").reshape(-1, dim), ids, cells, k, cell)
+                if ask != last:  # rows come in the order of the join's keys
+                    last, best = ask, np.full((len(q_ids), k), -np.inf)
+                at, place, upper, lower = scan(q_ids, np.frombuffer(raw[3], "<i4").reshape(-1, dim), ids, cells, best, cell)
                 for s in range(0, len(at), 1 << 16):
                     e = s + (1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[at[s:e]], np.full(len(at[s:e]), block), place[s:e], ids[place[s:e]], upper[s:e], lower[s:e])], _FOUND)

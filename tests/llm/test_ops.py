@@ -459,11 +459,14 @@ def test_bounds_hold():
 
     r = np.random.default_rng(4)
     v = np.floor(64 * r.normal(size=(3000, 16)) / 4).astype(np.int64)
-    at, place, upper, lower = scan(np.array([0]), v[:1], np.arange(3000), v >> 2, 5, 2)
+    held = np.full((1, 5), -np.inf)
+    at, place, upper, lower = scan(np.array([0]), v[:1], np.arange(3000), v >> 2, held, 2)
     score = v[place] @ v[0]
     assert (at == 0).all() and (lower <= score).all() and (score <= upper).all() and len(place) < 1000
     best = sorted((-int(v[0] @ x), k) for k, x in enumerate(v) if k)[:5]
     assert {k for _, k in best} <= set(place.tolist())
+    assert sorted(held[0]) == sorted(lower)[-5:]
+    assert len(scan(np.array([0]), v[:1], np.arange(3000, 6000), v[::-1] // 2 >> 2, held, 2)[0]) < len(place)  # the floor is carried on
 
 
 def test_near_copies(spark):
