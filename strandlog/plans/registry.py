@@ -486,7 +486,15 @@ def sweep_approx_exact(spark, d):
     return both[0].union(both[1])
 
 
-@query()
+_SPLIT = ("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+
+
+@query(
+    f"WITH u AS (SELECT l_returnflag, unnest([{', '.join(repr(c) for c in _SPLIT)}]) AS column_name, "
+    f"unnest([{', '.join(f'CAST({c} AS BIGINT)' for c in _SPLIT)}]) AS value FROM lineitem) "
+    "SELECT l_returnflag, column_name, count(*) AS n, CAST(sum(length(CAST(value AS VARCHAR)) + 1) AS BIGINT) AS text_bytes, "
+    "CAST(ceil(count(*) * length(bin(max(value))) / 8) + 1 AS BIGINT) AS packed_bytes FROM u GROUP BY ALL"
+)
 def column_split(spark, d):
     """Each field of line items coded by itself: packed bits of a column against its text, by return flag."""
     li = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("l_quantity"), "l_partkey", "l_suppkey")
@@ -588,7 +596,21 @@ def time_matrix(spark, d):
 # Streaming
 
 
-@query()
+# Streams are told apart by far-off numbers, and a line's bytes become characters, one for each.
+_CONV_BYTES = (
+    "cb AS (SELECT stream, line_no AS no, CAST(stream AS BIGINT) * 1000000 + line_no AS line_no, list_aggregate(list_transform("
+    "range(octet_length(encode(line))), lambda i: chr(CAST('0x' || substr(hex(encode(line)), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER))), "
+    "'string_agg', '') AS line FROM cv)"
+)
+
+
+@query(
+    f"WITH {CONV}, {_CONV_BYTES}, {_minhash_sql('cb', 8)}, "
+    "best AS (SELECT * FROM dist WHERE distance < 1.0 QUALIFY row_number() OVER (PARTITION BY line_no ORDER BY distance, ref_no) = 1) "
+    "SELECT e.stream, e.no AS line_no, CAST(coalesce(r.no - greatest(e.no - 8, 1), -1) AS INTEGER) AS begin, r.no AS ref_no, "
+    f"coalesce(b.distance, 1.0::DOUBLE) AS distance, coalesce(b.distance < {RATE}, false) AS is_match "
+    "FROM cb e LEFT JOIN best b USING (line_no) LEFT JOIN cb r ON r.line_no = b.ref_no"
+)
 def stream_nearest(spark, d):
     """The window as streaming state over conversations; equals `nearest` on the same lines."""
     from strandlog.streaming.windowed import nearest_stream
