@@ -1,14 +1,14 @@
 """Line deduplication over a corpus.
 
-Lines are exploded, normalised (ASCII blanks stripped at both ends, A-Z lower-cased) and hashed to 128 bits; a hash
-found in enough distinct documents is dropped everywhere but in the largest doc_id that holds it, and texts are
-reassembled by position. Only (hash, doc_id) pairs and positions are shuffled with the hashes; texts move once, by
-doc_id. Documents per hash are counted over distinct (hash, doc_id), so that a line that a third of the corpus holds
+Lines are exploded, normalised (ASCII blanks stripped at both ends, A-Z lower-cased) and hashed to 128 bits, with the
+positions of each hash in its text; a hash found in enough distinct documents is dropped everywhere but in the largest
+doc_id that holds it. The positions of a text's dropped lines are gathered, and the text is put together again from the
+lines at all other positions. Only hashes, doc_ids and positions are shuffled by hash; texts move once, by doc_id. Documents per hash are counted over distinct (hash, doc_id), so that a line that a third of the corpus holds
 is pre-aggregated; the join of lines with the frequent hashes starts from written tables, so that adaptive execution
 splits a hot hash.
 
 Edge cases: null or empty text is one empty line; a text all of whose lines go becomes empty; rows with the same
-doc_id are one document for counting and each is rewritten by itself; a null doc_id counts as one document below all
+doc_id are one document for counting and, told apart by a hash of the text, each is rewritten by itself; a null doc_id counts as one document below all
 others. An empty table gives an empty one. Other columns pass through.
 """
 
@@ -40,25 +40,27 @@ def line_keys(text: str | None, least: int) -> list[tuple[int, bytes]]:
 def _exploded(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            ids, keys, places = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, ties, keys, places = [], [], [], []
+            for d, t, tie in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 by: dict[bytes, list[int]] = {}
                 for i, k in line_keys(t, least):
                     by.setdefault(k, []).append(i)
                 ids += [d] * len(by)
+                ties += [tie] * len(by)
                 keys += by.keys()
                 places += by.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["doc", "key", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["doc", "tie", "key", "places"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, key binary, places array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc long, tie long, key binary, places array<int>")
 
 
 def _drops(docs: DataFrame, least: int, documents: int) -> DataFrame:
-    """(doc, keys): for each document the hashes of the lines that it loses."""
-    lines = cut(_exploded(docs, least).select("doc", "key"), "lines")
-    held = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
+    """(doc, tie, places): for each text the positions of the lines that it loses."""
+    lines = cut(_exploded(docs, least), "lines")
+    held = lines.select("doc", "key").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
     often = cut(held.filter(F.col("n") >= documents).select("key", "keeper"), "often")
-    return lines.join(often, "key").filter(~F.col("doc").eqNullSafe(F.col("keeper"))).groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    lost = lines.join(often, "key").filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc", "tie").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def _apply(docs: DataFrame, least: int, documents: int, finish: Callable, schema) -> DataFrame:
@@ -66,9 +68,10 @@ def _apply(docs: DataFrame, least: int, documents: int, finish: Callable, schema
     ship(docs.sparkSession)
     docs = docs.withColumn("text", F.col("text").cast("string"))
     cols = docs.columns
-    gone, doc = fresh_name(cols, "gone"), fresh_name(cols, "doc")
-    drops = _drops(docs, least, documents).select(F.col("doc").alias(doc), F.col("keys").alias(gone))
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left").select(*cols, gone)
+    gone, doc, tie = (fresh_name(cols, x) for x in ("gone", "doc", "tie"))
+    drops = _drops(docs, least, documents).select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("places").alias(gone))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tie))
+    joined = docs.join(drops, same, "left").select(*cols, gone)
     at = cols.index("text")
 
     def run(batches):
@@ -80,8 +83,7 @@ def _apply(docs: DataFrame, least: int, documents: int, finish: Callable, schema
                     lines.append((t or "").count("\n") + 1)
                     dropped.append(0)
                     continue
-                lose = set(g)
-                bad = {i for i, k in line_keys(t, least) if k in lose}
+                bad = set(g)
                 parts = (t or "").split("\n")
                 texts.append("\n".join(x for i, x in enumerate(parts) if i not in bad))
                 lines.append(len(parts))

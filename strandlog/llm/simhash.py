@@ -8,7 +8,9 @@ codewords, the anchors of a half; every 31-bit word is within covering radius 1
 fingerprints within two bits differ in at most one bit of at least one half. There the home of the one is at most
 1 + 1 = 2 bits from the other. So each fingerprint goes to its two homes, and is replicated to every anchor within
 radius + 1 = 2 (at most 16 in a half); comparing homes with replicas anchor by anchor finds every link. Only distinct
-fingerprints take part: each has at most 64 + 2016 others within two bits, so the links stay linear in their number.
+fingerprints take part: each has at most 64 + 2016 others within two bits, so the links stay linear in their
+number. The pairs compared do not: n distinct fingerprints meet about 2 * 16 * n / 2^26 replicas each, more than one
+beyond some millions of them, so that comparing grows with n^2 from about 10^8 on; longer halves would be needed there.
 
 Edge cases: null text counts as empty; a text without words has fingerprint 0 and links like any other; equal
 fingerprints are linked; rows that share a doc_id are rows of one document and get the component of their own text; a
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.graph import components
-from strandlog.runtime import cut, ship
+from strandlog.runtime import cut, fresh_name, ship
 
 _BLOCK = 1 << 16
 _BITS = 31
@@ -138,6 +140,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """docs without the documents that have a near duplicate of smaller doc_id in their component."""
-    stay = near_duplicates(docs, words, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stays"]), "left_semi")
+    """docs with one row of each component: the smallest doc_id (null last), then by a hash of the text."""
+    cols = docs.columns
+    row = fresh_name(cols, "row")
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    label = near_duplicates(docs.select(F.col(row).alias("doc_id"), "text"), words, distance).select(F.col("doc_id").alias("at"), "component_id")
+    doc = F.col("doc_id").cast("long")
+    first = F.struct(doc.isNull().alias("none"), doc.alias("doc"), F.xxhash64("text").alias("tie"), F.col(row).alias("row"))
+    ranks = docs.select(F.col(row).alias("is"), first.alias("first")).join(label, F.col("is") == F.col("at"))
+    stay = cut(ranks.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays")), "simhash-stays")
+    return docs.join(stay, docs[row] == stay["stays"], "left_semi").select(*cols)

@@ -151,13 +151,16 @@ def convert(arc: io.BufferedIOBase, revisits: Callable[[bytes, str], str | None]
 
 def members(data: bytes) -> Iterator[bytes]:
     """The gzip members of a file, unpacked one by one."""
-    while data:
-        d = zlib.decompressobj(31)
-        out = d.decompress(data) + d.flush()
+    at, step = 0, 1 << 16
+    while at < len(data):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof and at < len(data):
+            some = data[at : at + step]
+            out.append(d.decompress(some))
+            at += len(some) - len(d.unused_data)
         if not d.eof:
             raise ValueError("truncated gzip member")
-        data = d.unused_data
-        yield out
+        yield b"".join(out)
 
 
 def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:

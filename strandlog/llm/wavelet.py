@@ -1,9 +1,10 @@
 """Token ids in wavelet-matrix files.
 
 A shard's file holds its documents' ids as a wavelet matrix: one bit-plane for each bit of an id, the highest first;
-after each plane the ids are stably parted, zeros before ones. A plane answers rank and select by counts of ones kept
+after each plane the ids are stably parted, zeros before ones. A plane answers rank and select by counts of ones
 for every 512 bits, so that the file answers access to any token, the count of a token up to a place, and the place of
-its k-th occurrence, without unpacking the ids. Planes are compressed one by one and unpacked on first use.
+its k-th occurrence, without making the list of ids. Planes are compressed one by one; a plane is unpacked as a whole, and
+its counts are made, when it is first asked for: the counts are not in the file, and one access opens all planes.
 
 Layout (little-endian): magic `WVM1`, documents u32, planes u32, tokens u64; doc_ids i64 each (and a byte each that is
 1 where it is null); tokens of each document u64; zeros of each plane u64; compressed size of each plane u32; planes

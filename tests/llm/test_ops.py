@@ -507,3 +507,24 @@ def test_one_row_of_repeated_and_null_ids(spark):
     a, b, c = ("some words that make up a text of their own number " + x for x in ("one", "two two", "three three three"))
     kept = op.keep_one(table(spark, [a, a, b, b, b, c, c], [5, 5, 3, 5, None, None, None])).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", a), ("3", b), ("None", c)])
+
+
+def test_simhash_keeps_one_row(spark):
+    from strandlog.llm import simhash
+
+    text = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (5, "x y z"), (5, text), (None, "x y z"), (None, None), (None, "")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), (5, "x y z"), (None, "")], key=str)
+
+
+def test_members_of_a_long_file():
+    import gzip
+
+    from strandlog.llm.warc import members
+
+    parts = [bytes([i % 251]) * (i * 997 % 70_000) for i in range(60)]
+    data = b"".join(gzip.compress(x) for x in parts)
+    assert list(members(data)) == parts
+    with pytest.raises(ValueError):
+        list(members(data[:-1]))
