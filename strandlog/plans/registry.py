@@ -221,10 +221,9 @@ def scripts(pairs: DataFrame, approx: bool = True, q: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            made = []
-            for new, old in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ops, _ = deltas.approximate(old, new, q) if approx else deltas.exact(old, new)
-                made.append([{"position": p, "d_length": n, "i_length": len(s), "substr": s} for p, n, s in ops])
+            both = list(zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True))
+            each = [deltas.approximate(old, new, q) for old, new in both] if approx else deltas.exact_many(both)
+            made = [[{"position": p, "d_length": n, "i_length": len(s), "substr": s} for p, n, s in ops] for ops, _ in each]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(made, pa.list_(op))], ["stream", "line_no", "ref", "ops"])
 
     cols = pairs.select("stream", "line_no", F.encode("line", "UTF-8").alias("line"), F.encode("ref", "UTF-8").alias("ref"))

@@ -144,3 +144,62 @@ def test_many_signatures_equal_one_by_one():
         m = gram_matrix(lines, q)
         assert m.sum() == sum(max(0, len(x) - q + 1) for x in lines) and (m @ m.T)[3, 7] == sum(n * grams(lines[7], q)[g] for g, n in grams(lines[3], q).items())
     assert gram_matrix(lines, 3, 10) is None
+
+
+def _plain_exact(old, new, most):
+    """The recurrence cell by cell, with all earlier cells looked at one by one."""
+    m, n = len(old), len(new)
+    cost, came = {(0, j): 3.0 * (j > 0) + j for j in range(n + 1)}, {(0, j): (0, j - 1) for j in range(1, n + 1)}
+    for i in range(1, m + 1):
+        cost[i, 0], came[i, 0] = 3.0, (i - 1, 0)
+        for j in range(1, n + 1):
+            if old[i - 1] == new[j - 1]:
+                cost[i, j] = cost[i - 1, j - 1]
+                continue
+            common, reach = {}, []
+            for p, r in ((p, r) for p in range(i - 1, -1, -1) for r in range(j - 1, -1, -1)):
+                at = lambda x, y: common.get((x, y), 0)  # noqa: E731, B023
+                common[p, r] = at(p + 1, r + 1) + 1 if old[p] == new[r] else max(at(p + 1, r), at(p, r + 1))
+                if common[p, r] >= most:
+                    break
+                reach.append((p, r))
+            cost[i, j], _, came[i, j] = min((cost[c] + 3.0 * (c not in came) + j - c[1], k, c) for k, c in enumerate(reach))
+    ops, (i, j) = [], (m, n)
+    while i or j:
+        if (i, j) not in came:
+            i, j = i - 1, j - 1
+            continue
+        p, r = came[i, j]
+        if ops and ops[-1][0] == i:
+            _, deleted, inserted = ops.pop()
+            ops.append((p, i - p + deleted, new[r:j] + inserted))
+        else:
+            ops.append((p, i - p, new[r:j]))
+        i, j = p, r
+    return ops[::-1], cost[m, n]
+
+
+def test_many_exact_scripts_equal_the_recurrence():
+    import random
+
+    draw = random.Random(4)
+    pairs = []
+    for _ in range(250):
+        letters = draw.choice([b"ab", b"abc", b"abcdefgh"])
+        old = bytes(draw.choices(letters, k=draw.randint(1, 14)))
+        new = bytes(draw.choices(letters, k=draw.randint(1, 14))) if draw.random() < 0.5 else bytes(c if draw.random() < 0.8 else draw.choice(letters) for c in old) + b"z" * draw.randint(0, 2)
+        pairs.append((old, new))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    for most in (1, 2, 3, 5):
+        assert deltas.exact_many(pairs, most) == [_plain_exact(*p, most) for p in pairs]
+    odd = [(b"", b"ab"), (b"x", b"x"), (b"\xff\x00", b"\x00"), (b"ab", b""), (b"", b"")]
+    assert deltas.exact_many(odd) == [deltas.exact(*p) for p in odd] and deltas.exact_many([]) == []
+
+
+def test_exact_scripts_take_time_by_the_product_of_lengths():
+    import time
+
+    began = time.process_time()
+    assert deltas.exact(b"a" * 500, b"b" * 500) == ([(0, 500, b"b" * 500)], 503.0)
+    assert len(deltas.exact_many([(b"a" * 120, b"b" * 119 + bytes([i])) for i in range(100)])) == 100
+    assert time.process_time() - began < 10
