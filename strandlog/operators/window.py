@@ -78,17 +78,29 @@ def choose(line: bytes, q: deque, measure: Measure, mine) -> tuple[int, float]:
     return begin, least
 
 
+def match_line(line: bytes, q: deque, measure: Measure, mine, threshold: float) -> tuple[dict, bytes | None]:
+    """The record of a line without a script, and the line it is to be written against, if there is one."""
+    begin, distance = choose(line, q, measure, mine)
+    matched = begin >= 0 and distance < threshold
+    return {"begin": begin, "distance": distance, "matched": matched, "method": 1, "ops": None, "cost": None}, q[begin][0] if matched else None
+
+
+def add_scripts(found: list[tuple[dict, bytes, bytes | None]], measure: Measure, approx: bool) -> list[dict]:
+    """The records of `match_line`, each with its line and the older one, with scripts where these cost less than the line."""
+    pairs = [(old, line) for _, line, old in found if old is not None]
+    made = iter([deltas.approximate(*p, measure.q) for p in pairs] if approx else deltas.exact_many(pairs))
+    for out, line, old in found:
+        if old is not None:
+            ops, out["cost"] = next(made)
+            if out["cost"] <= len(line):
+                out |= {"method": 0, "ops": ops}
+    return [out for out, _, _ in found]
+
+
 def encode_line(line: bytes, q: deque, measure: Measure, mine, threshold: float, approx: bool) -> dict:
     """The record of a line: method 0 with a script against the record at `begin`, or method 1, raw."""
-    begin, distance = choose(line, q, measure, mine)
-    out = {"begin": begin, "distance": distance, "matched": begin >= 0 and distance < threshold, "method": 1, "ops": None, "cost": None}
-    if out["matched"]:
-        old = q[begin][0]
-        ops, cost = (deltas.approximate(old, line, measure.q) if approx else deltas.exact(old, line))
-        out["cost"] = cost
-        if cost <= len(line):
-            out |= {"method": 0, "ops": ops}
-    return out
+    out, old = match_line(line, q, measure, mine, threshold)
+    return add_scripts([(out, line, old)], measure, approx)[0]
 
 
 def scan(batches: Iterator, window: int, measure: Measure):
@@ -221,13 +233,24 @@ def records(lines: DataFrame, window: int = 8, distance: str = "minhash", q: int
     schema = pa.schema([("stream", pa.string()), ("line_no", pa.int64()), ("method", pa.int32()), ("begin", pa.int32()), ("ref_no", pa.int64()), ("distance", pa.float64()), ("matched", pa.bool_()), ("cost", pa.float64()), ("ops", pa.list_(op)), ("raw", pa.binary())])
 
     def run(batches):
+        def encoded(waiting):
+            made = add_scripts([w[3:] for w in waiting], measure, approx)
+            for (stream, no, ref, _, line, _), r in zip(waiting, made, strict=True):
+                ops = None if r["ops"] is None else [{"position": p, "d_length": d, "i_length": len(s), "substr": s} for p, d, s in r["ops"]]
+                yield stream, no, r["method"], r["begin"], ref, r["distance"], r["matched"], r["cost"], ops, line if r["method"] else None
+
         def rows():
+            waiting, size = [], 0  # exact scripts are made for many lines at once
             for stream, _, no, context, line, queue, mine in scan(batches, window, measure):
                 if context:
                     continue
-                r = encode_line(line, queue, measure, mine, threshold, approx)
-                ops = None if r["ops"] is None else [{"position": p, "d_length": d, "i_length": len(s), "substr": s} for p, d, s in r["ops"]]
-                yield stream, no, r["method"], r["begin"], queue[r["begin"]][2] if r["begin"] >= 0 else None, r["distance"], r["matched"], r["cost"], ops, line if r["method"] else None
+                r, old = match_line(line, queue, measure, mine, threshold)
+                waiting.append((stream, no, queue[r["begin"]][2] if r["begin"] >= 0 else None, r, line, old))
+                size += len(line) + len(old or b"")
+                if approx or len(waiting) == ROWS or size > BYTES:
+                    yield from encoded(waiting)
+                    waiting, size = [], 0
+            yield from encoded(waiting)
 
         yield from _batches(rows(), schema)
 

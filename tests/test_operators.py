@@ -224,3 +224,27 @@ def test_gaps_nulls_and_pieces(spark, monkeypatch):
             monkeypatch.setattr(w, "SHORT", short)
             assert list(w._nearest_by_piece([batch.slice(0, 31), batch.slice(31)], 7, measure, 0.4)) == want, (name, q, size)
     assert w.segment_size(8) == 512 and w.segment_size(65535) >= 8 * 65535
+
+
+def test_exact_records_are_those_made_line_by_line(spark):
+    """Scripts are made for many lines at once; long pairs without much in common end soon."""
+    import random
+    import time
+    from collections import deque
+
+    from strandlog.functions.distances import Measure
+    from strandlog.operators import window
+
+    draw = random.Random(6)
+    lines = ["abc" + draw.choice("xyz") * draw.randint(100, 150) for _ in range(30)] + ["".join(draw.choices("abcd", k=draw.randint(0, 12))) for _ in range(600)]
+    df = spark.createDataFrame([("s", i + 1, x) for i, x in enumerate(lines)], "stream string, line_no long, line string")
+    began = time.time()
+    got = {r.line_no: r for r in window.records(df, 2, "cosine", threshold=1.0, approx=False).collect()}
+    assert time.time() - began < 60 and len(got) == len(lines)
+    measure, queue = Measure("cosine", 3), deque(maxlen=2)
+    for i, x in enumerate(lines):
+        line, mine, r = x.encode(), measure.prepare(x.encode()), got[i + 1]
+        want = window.encode_line(line, queue, measure, mine, 1.0, False)
+        ops = None if r.ops is None else [(o.position, o.d_length, bytes(o.substr)) for o in r.ops]
+        assert (r.method, r.begin, r.matched, r.cost, ops) == tuple(want[k] for k in ("method", "begin", "matched", "cost", "ops"))
+        queue.append((line, mine, i + 1))
