@@ -248,3 +248,19 @@ def test_exact_records_are_those_made_line_by_line(spark):
         ops = None if r.ops is None else [(o.position, o.d_length, bytes(o.substr)) for o in r.ops]
         assert (r.method, r.begin, r.matched, r.cost, ops) == tuple(want[k] for k in ("method", "begin", "matched", "cost", "ops"))
         queue.append((line, mine, i + 1))
+
+
+def test_exact_sweep_adds_up_scripts_of_long_urls(spark, tmp_path):
+    import time
+
+    from strandlog.functions import deltas
+    from strandlog.plans import registry
+
+    urls = ["http://" + "abcdefgh"[i % 8] * (150 + i) for i in range(24)]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    began = time.time()
+    got = {r.kind: r for r in registry.sweep_approx_exact(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    each = [deltas.exact(a.encode(), b.encode()) for a, b in zip(urls, urls[1:])]
+    assert got["exact"].cost == sum(c for _, c in each)
+    assert got["exact"].n_delta == sum(c <= len(b) for (_, c), b in zip(each, urls[1:]))
