@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.tokens import slices
+from strandlog.llm.tokens import drop_table, give_back, slices
 from strandlog.runtime import cut, ship
 
 #: Sampled documents a language, visits to each in training, bytes read at a visit.
@@ -266,7 +266,12 @@ def above_chance(langs: int, part: float) -> float:
 
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """docs without those of no known language: `und`, or a score below `least`."""
-    return filtered(docs, lambda texts: [lang != "und" and score >= least for lang, score in model.predict(texts)])
+
+    def keep(texts):
+        drop_table()
+        return [lang != "und" and score >= least for lang, score in model.predict(texts)]
+
+    return filtered(docs, keep)
 
 
 def filtered(docs: DataFrame, keep) -> DataFrame:
@@ -278,5 +283,6 @@ def filtered(docs: DataFrame, keep) -> DataFrame:
         for b in batches:
             said = [x for _, part in slices(b.column(at)) for x in keep(part.to_pylist())]
             yield b.filter(pa.array(said, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

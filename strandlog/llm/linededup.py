@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.llm.tokens import drop_table, give_back
 from strandlog.runtime import cut, fresh_name, ship
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -39,6 +40,7 @@ def line_keys(text: str | None, least: int) -> list[tuple[int, bytes]]:
 
 def _exploded(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
+        drop_table()
         for b in batches:
             ids, ties, keys, places = [], [], [], []
             for d, t, tie in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -50,6 +52,8 @@ def _exploded(docs: DataFrame, least: int) -> DataFrame:
                 keys += by.keys()
                 places += by.values()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["doc", "tie", "key", "places"])
+            del ids, ties, keys, places
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc long, tie long, key binary, places array<int>")
 
@@ -89,6 +93,8 @@ def _apply(docs: DataFrame, least: int, documents: int, finish: Callable, schema
                 lines.append(len(parts))
                 dropped.append(len(bad))
             yield finish(b, texts, lines, dropped)
+            del texts, lines, dropped
+            give_back()
 
     return joined.mapInArrow(run, schema)
 

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.tokens import PART, slices, table
+from strandlog.llm.tokens import give_back, slices, table
 from strandlog.runtime import cut, ship
 
 #: Pieces of one hash bucket, on average, within which ranks are counted by sorting.
 BUCKET = 20_000
+#: Rows and bytes of texts that are encoded at once: fewer than `tokens.PART`, for the memory that encoding takes.
+PART = (8192, 2 << 20)
 
 
 class Rooms:
@@ -121,6 +123,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Da
                     ids += tail
                     rows += [(d, at // step, at // 4, (min(len(ids), at + step) - at) // 4, zlib.crc32(ids[at : at + step])) for at in range(0, len(ids), step)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c == 1 else pa.int64()) for c in range(5)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                del rows
+                give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

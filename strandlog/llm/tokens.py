@@ -11,6 +11,7 @@ told apart. The table is bounded: when it is full, words not used since it last
 
 from __future__ import annotations
 
+import ctypes
 import os
 from functools import cache
 
@@ -133,12 +134,26 @@ _LAST: list = []
 def claim(holder):
     """Only the table in use stays in a worker: the one used before forgets its words."""
     if _LAST and _LAST[0] is not holder:
-        _LAST[0].forget()
-        pa.default_memory_pool().release_unused()
+        drop_table()
     _LAST[:] = [holder]
     return holder
 
 
+def drop_table() -> None:
+    """The table in use, if any, forgets its words: for tasks of other kinds in a worker that lives on."""
+    if _LAST:
+        _LAST.pop().forget()
+        give_back()
+
+
+def give_back() -> None:
+    """What this worker has freed goes back to the system, as its executor has one limit for all workers and the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 @cache
 def _word_table(path: str) -> WordTable:
     return WordTable(path)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.langid import filtered
-from strandlog.llm.tokens import LONG, TABLE, claim, slices
+from strandlog.llm.tokens import LONG, TABLE, claim, give_back, slices
 from strandlog.runtime import cut, ship
 
 #: Sampled toxic and clean rows, trigrams that a task holds at once.
@@ -326,6 +326,8 @@ def _trigrams(docs: DataFrame) -> DataFrame:
                         c.clear()
         spell()
         yield batch(c)
+        c.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 

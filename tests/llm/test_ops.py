@@ -528,3 +528,17 @@ def test_members_of_a_long_file():
     assert list(members(data)) == parts
     with pytest.raises(ValueError):
         list(members(data[:-1]))
+
+
+def test_tasks_of_other_kinds_drop_the_words_of_a_table(spark):
+    """Workers live on from stage to stage: the tables of one aren't kept in the next."""
+    from strandlog.llm import nearcopies, tokens
+
+    words = tokens.table(WORD)
+    words.encode(["some words of a text"])
+    assert len(words.known) > 1
+    tokens.drop_table()
+    assert len(words.known) == 1 and not words.older and not tokens._LAST
+    tokens.drop_table()
+    assert tokens.table(WORD).encode(["some words"]) == words.encode(["some words"]) != [b""]
+    assert nearcopies.keep_one(table(spark, ["some words"], [1])).count() == 1
