@@ -14,6 +14,8 @@ from strandlog.runtime import cut, read
 
 #: A document has no known language if the pooled probability of the best is nearer to chance than this part of the way to 1.
 LEAST_LANGUAGE = 0.2
+#: Texts whose fingerprints differ in so many bits or fewer are near copies, as in op1.
+LINK_BITS = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard index of 0.8 or more) stays."""
-    return nearcopies.keep_one(docs)
+    """One document of each group of near copies stays: SimHash fingerprints within two bits, found through anchors, or
+    a Jaccard index of 0.8 or more over five-word shingles."""
+    return nearcopies.keep_one(docs, LINK_BITS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard index of word shingles: candidates by MinHash bands, each checked exactly.
+"""Near copies by SimHash anchors, and by the Jaccard index of word shingles: candidates by MinHash bands, each checked exactly.
+
+With `bits`, texts whose SimHash fingerprints (those of op1) differ in so many bits or fewer are linked first, through the
+anchors of `simhash.links`; copies by Jaccard index are then looked for where these links leave several components. Two
+bits miss most pairs at an index of 0.8, and such an index misses long texts with repeats that are within two bits, so
+that each finds what the other doesn't.
 
 A text's set holds the XXH64 hashes of its shingles of WORDS words. Texts of one set are one node. A node has BANDS
 keys, each of ROWS minima of the set under different bijections of the hashes; two sets of index j share a key with
@@ -27,7 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.llm import simhash
 from strandlog.llm.graph import components
+from strandlog.llm.tokens import drop_table, give_back
 from strandlog.runtime import cut, fresh_name, ship
 
 WORDS, BANDS, ROWS, HUBS = 5, 40, 5, 3
@@ -68,21 +75,38 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return common * LEAST[1] >= (len(a) + len(b) - common) * LEAST[0]
 
 
-def _nodes(docs: DataFrame, row: str) -> DataFrame:
-    """(row, doc, tie, node, keys) of every row."""
+def _nodes(docs: DataFrame, row: str, bits: int | None) -> DataFrame:
+    """(row, doc, tie, node, fp, keys) of every row; fp is null if fingerprints aren't asked for."""
 
     def run(batches):
+        drop_table()
         for b in batches:
-            node, keys = [], []
+            node, fp, keys = [], [], []
             for t in b.column(3).to_pylist():
                 held = shingles(t)
                 node.append(xxhash.xxh64_intdigest(held.astype("<u8").tobytes(), 1))
                 keys.append(band_keys(held))
+                if bits is not None:
+                    fp.append(simhash.fingerprint(t))
             node = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), node, pa.array(keys, pa.list_(pa.int64()))], ["row", "doc", "tie", "node", "keys"])
+            fp = pa.nulls(len(node), pa.int64()) if bits is None else pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), node, fp, pa.array(keys, pa.list_(pa.int64()))], ["row", "doc", "tie", "node", "fp", "keys"])
+            give_back()
 
     slim = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("tie"), "text")
-    return slim.mapInArrow(run, "row long, doc long, tie long, node long, keys array<long>")
+    return slim.mapInArrow(run, "row long, doc long, tie long, node long, fp long, keys array<long>")
+
+
+def _within_bits(base: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) of nodes that connect all whose fingerprints are equal or within so many bits: each fingerprint's
+    nodes with the smallest of them, and the smallest ones of two fingerprints."""
+    held = cut(base.select("node", "fp").distinct(), "near-fps")
+    top = cut(held.groupBy("fp").agg(F.min("node").alias("top")), "near-tops")
+    same = held.join(top, "fp").filter("node != top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    near = cut(simhash.links(top, bits), "near-bits")
+    end = lambda at, node: top.select(F.col("fp").alias(at), F.col("top").alias(node))
+    both = near.join(end("a", "x"), "a").join(end("b", "y"), "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return cut(same.union(both), "near-links")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -92,6 +116,8 @@ def _sets(texts: DataFrame) -> DataFrame:
         for b in batches:
             held = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
+            del held
+            give_back()
 
     return texts.select("node", "text").mapInArrow(run, "node long, held array<long>")
 
@@ -103,6 +129,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             (p, q), n = [[x.values.to_numpy(zero_copy_only=False)[s:e] for x in [b.column(i)] for s, e in zip(x.offsets[:-1].to_pylist(), x.offsets[1:].to_pylist(), strict=True)] for i in (2, 3)], b.num_rows
             yield b.select([0, 1]).filter(pa.array([alike(p[i], q[i]) for i in range(n)], pa.bool_()))
+            del p, q
+            give_back()
 
     side = lambda at, held: sets.select(F.col("node").alias(at), F.col("held").alias(held))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", "p", "q")
@@ -130,9 +158,11 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return prefix.hint("merge").join(other, (prefix["hash"] == other["same"]) & fits).select(F.col("node").alias("x"), "y")
 
 
-def links(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, root) of all nodes with links, from (key, node, weight) and (node, held)."""
-    found = label = None
+def links(buckets: DataFrame, sets: DataFrame, found: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of all nodes with links, from (key, node, weight) and (node, held); `found` has links (a, b) that are known."""
+    if found is not None and found.isEmpty():
+        found = None
+    label = None if found is None else components(found)
     for turn in range(HUBS + 1):
         if label is None:
             rows = buckets.withColumn("root", F.col("node"))
@@ -155,13 +185,16 @@ def links(buckets: DataFrame, sets: DataFrame) -> DataFrame | None:
     return label
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies: the smallest doc_id (null last), then by text."""
+def keep_one(docs: DataFrame, bits: int | None = None) -> DataFrame:
+    """docs with one row of each component of near copies: the smallest doc_id (null last), then by text.
+
+    With `bits` (2 at most), fingerprints within so many bits link texts as well.
+    """
     ship(docs.sparkSession)
     cols = docs.columns
     row = fresh_name(cols, "row")
     docs = cut(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    base = cut(_nodes(docs, row), "near-nodes")
+    base = cut(_nodes(docs, row, bits), "near-nodes")
     first = cut(base.groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "tie", "row")).alias("first"), F.first("keys").alias("keys")), "near-first")
     keys = cut(first.select("node", F.explode(F.array_distinct("keys")).alias("key")), "near-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("at"), "n")
@@ -170,7 +203,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     buckets = cut(buckets.drop("n").join(weight, "node").select("key", "node", "weight"), "near-buckets")
     wanted = buckets.select("node").distinct().join(first.select("node", F.col("first.row").alias("at")), "node")
     sets = cut(_sets(docs.join(wanted, docs[row] == wanted["at"]).select("node", "text")), "near-sets")
-    label = links(buckets, sets)
+    label = links(buckets, sets, None if bits is None else _within_bits(base, bits))
     roots = first.select("node", "first").withColumn("root", F.col("node"))
     if label is not None:
         roots = cut(first.join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")

@@ -530,6 +530,32 @@ def test_members_of_a_long_file():
         list(members(data[:-1]))
 
 
+def test_near_duplicates_links_by_fingerprints_and_by_shingles(spark):
+    """The pipeline's stage links what SimHash links, whatever the Jaccard index, and what only the index links."""
+    import corpus_pipeline as cp
+    from strandlog.llm import nearcopies
+
+    r = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(map(chr, w)) for w in r.integers(97, 123, (n, 6)))
+    long = "one two three four five six seven eight nine " * 60  # an odd number of shingles, so that no bit is even
+    texts = [long + words(12), long + words(14)]
+    plain = words(150).split()
+    texts += [" ".join(plain), " ".join("changed" if i in (20, 60, 100) else x for i, x in enumerate(plain)), words(40), "", None]
+    near = lambda a, b: (bits_of(texts[a]) ^ bits_of(texts[b])).bit_count() <= 2
+    alike = lambda a, b: nearcopies.alike(nearcopies.shingles(texts[a]), nearcopies.shingles(texts[b]))
+    assert near(0, 1) and not alike(0, 1) and not near(2, 3) and alike(2, 3)
+    docs = table(spark, texts, list(range(1, 8)))
+    assert sorted(x.doc_id for x in cp.near_duplicates(spark, docs, "").collect()) == [1, 3, 5, 6]
+    assert sorted(x.doc_id for x in nearcopies.keep_one(docs).collect()) == [1, 2, 3, 5, 6]
+    assert cp.near_duplicates(spark, table(spark, []), "").count() == 0
+
+
+def bits_of(text):
+    from strandlog.llm import simhash
+
+    return simhash.fingerprint(text)
+
+
 def test_tasks_of_other_kinds_drop_the_words_of_a_table(spark):
     """Workers live on from stage to stage: the tables of one aren't kept in the next."""
     from strandlog.llm import nearcopies, tokens
