@@ -20,6 +20,8 @@ o = ceil(4(n + m)/9) or more in common, so that they share one among the first n
 and are of different components, are checked. So no pair at LEAST or more is left out, a large group of near copies costs a few comparisons a node, and
 texts that only share a frequent passage aren't compared, as its hashes come last.
 
+Texts aren't shuffled: rows whose sets are needed, and rows that stay, are found again by marks of their ids (`marks`).
+
 Edge cases: as in simhash, null text counts as empty; texts without words are one set; shorter texts than WORDS words
 have one shingle. An empty table gives an empty result. Other columns are not looked at.
 """
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from strandlog.llm import simhash
 from strandlog.llm.graph import components
+from strandlog.llm.marks import mark, marked
 from strandlog.llm.tokens import drop_table, give_back
 from strandlog.runtime import cut, fresh_name, ship
 
@@ -84,7 +87,7 @@ def _nodes(docs: DataFrame, row: str, bits: int | None) -> DataFrame:
             node, fp, keys = [], [], []
             for t in b.column(3).to_pylist():
                 held = shingles(t)
-                node.append(xxhash.xxh64_intdigest(held.astype("<u8").tobytes(), 1))
+                node.append(_node(held))
                 keys.append(band_keys(held))
                 if bits is not None:
                     fp.append(simhash.fingerprint(t))
@@ -109,17 +112,23 @@ def _within_bits(base: DataFrame, bits: int) -> DataFrame:
     return cut(same.union(both), "near-links")
 
 
+def _node(held: np.ndarray) -> int:
+    """The name of a set, unsigned."""
+    return xxhash.xxh64_intdigest(held.astype("<u8").tobytes(), 1)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, held) from (node, text)."""
+    """(node, held) of texts."""
 
     def run(batches):
         for b in batches:
-            held = [shingles(t).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], ["node", "held"])
+            held = [shingles(t) for t in b.column(0).to_pylist()]
+            node = np.array([_node(h) for h in held], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], ["node", "held"])
             del held
             give_back()
 
-    return texts.select("node", "text").mapInArrow(run, "node long, held array<long>")
+    return texts.select("text").mapInArrow(run, "node long, held array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,11 +210,11 @@ def keep_one(docs: DataFrame, bits: int | None = None) -> DataFrame:
     buckets = cut(keys.join(shared, keys["key"] == shared["at"]).select("key", "node", "n"), "near-shared")
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     buckets = cut(buckets.drop("n").join(weight, "node").select("key", "node", "weight"), "near-buckets")
-    wanted = buckets.select("node").distinct().join(first.select("node", F.col("first.row").alias("at")), "node")
-    sets = cut(_sets(docs.join(wanted, docs[row] == wanted["at"]).select("node", "text")), "near-sets")
+    wanted = mark(first.join(buckets.select("node").distinct(), "node", "left_semi").select("first.row"))
+    sets = cut(_sets(docs.filter(marked(F.col(row), wanted))), "near-sets")
     label = links(buckets, sets, None if bits is None else _within_bits(base, bits))
     roots = first.select("node", "first").withColumn("root", F.col("node"))
     if label is not None:
         roots = cut(first.join(label, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-roots")
-    stay = cut(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays")), "near-stays")
-    return docs.join(stay, docs[row] == stay["stays"], "left_semi").select(*cols)
+    stay = cut(roots.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "near-stays")
+    return docs.filter(marked(F.col(row), mark(stay))).select(*cols)

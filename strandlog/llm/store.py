@@ -20,6 +20,11 @@ def _norm(uri: str) -> str:
     return "file://" + uri[len("file:") :] if uri.startswith("file:") and not uri.startswith("file://") else uri
 
 
+def locate(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a file or folder, and its path there."""
+    return _open(_norm(uri))
+
+
 def put(folder: str, suffix: str, data: bytes) -> str:
     """Write a file of a new name into the folder; returns its URI."""
     folder = _norm(folder)

@@ -501,6 +501,38 @@ def test_near_copies(spark):
     assert op.keep_one(table(spark, [])).count() == 0
 
 
+def test_near_copies_shuffle_no_texts(spark, monkeypatch):
+    """Rows whose sets are needed, and rows that stay, are read where they are written."""
+    from strandlog.llm import nearcopies as op
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen, sets = [], op._sets
+    monkeypatch.setattr(op, "_sets", lambda texts: seen.append(plan(texts)) or sets(texts))
+    same = " ".join(f"w{i}" for i in range(60))
+    docs = table(spark, [same, same + " more", "other words", None]).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = op.keep_one(docs, 2)
+        assert [x for x in (*seen, plan(kept)) if "Exchange" in x] == [] and len(seen) == 1
+        assert sorted(x.doc_id for x in kept.collect()) == [1, 7, 10]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_marked_rows(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.llm import marks
+    from strandlog.runtime import cut
+
+    rows = cut(spark.range(0, 5000, 1, 7).withColumn("row", F.monotonically_increasing_id()))
+    some = marks.mark(rows.filter("id % 3 = 0 and id < 4000").select("row"))
+    assert sorted(x.id for x in rows.filter(marks.marked(F.col("row"), some)).collect()) == list(range(0, 4000, 3))
+    none = marks.mark(rows.filter("id < 0").select("row"))
+    assert rows.filter(marks.marked(F.col("row"), none)).count() == 0
+
+
 def test_one_row_of_repeated_and_null_ids(spark):
     from strandlog.llm import nearcopies as op
 
