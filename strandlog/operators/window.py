@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import deltas
 from strandlog.functions.distances import HASHES, Measure, cosine, gram_matrix, minhash_many
-from strandlog.runtime import ship
+from strandlog.runtime import ship, width
 
 SEGMENT, WINDOWS = 512, 8
 #: Rows and, but for single lines, bytes that are looked at side by side; bytes up to which a matrix of grams is tried.
@@ -63,7 +63,8 @@ def _with_context(lines: DataFrame, window: int, segment: int, context: bool) ->
     places = F.concat(F.array(own), later) if context else F.array(own)
     rows = lines.select("stream", "line_no", F.encode(F.coalesce("line", F.lit("")), "UTF-8").alias("line"), F.explode(places).alias("to"))
     rows = rows.select("stream", "to.seg", "line_no", "to.context", "line")
-    return rows.repartition("stream", "seg").sortWithinPartitions("stream", "seg", "line_no")
+    # A fixed number of parts: rows are small for the work on them, and adaptive execution would join parts by their bytes.
+    return rows.repartition(width(lines.sparkSession), "stream", "seg").sortWithinPartitions("stream", "seg", "line_no")
 
 
 def choose(line: bytes, q: deque, measure: Measure, mine) -> tuple[int, float]:

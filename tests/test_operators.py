@@ -250,6 +250,16 @@ def test_exact_records_are_those_made_line_by_line(spark):
         queue.append((line, mine, i + 1))
 
 
+def test_small_lines_are_searched_by_many_tasks(spark):
+    """Adaptive execution joins small shuffled parts; the work on lines is long for their bytes and stays dealt out."""
+    from strandlog.operators.window import records
+
+    lines = spark.range(1, 2001).selectExpr("'s' AS stream", "id AS line_no", "concat('line ', id) AS line")
+    made = records(lines, 1, "cosine", threshold=1.0, approx=False, segment=32)
+    tasks = made.selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 2000
+
+
 def test_exact_sweep_adds_up_scripts_of_long_urls(spark, tmp_path):
     import time
 
