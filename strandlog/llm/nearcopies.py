@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strandlog.llm import simhash
 from strandlog.llm.graph import components
-from strandlog.llm.marks import mark, marked
+from strandlog.llm.marks import among, mark, marked
 from strandlog.llm.tokens import drop_table, give_back
 from strandlog.runtime import cut, fresh_name, ship
 
@@ -118,17 +118,23 @@ def _node(held: np.ndarray) -> int:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, held) of texts."""
+    """(node, held) of the texts whose row ids are marked, from (row, text); row's metadata names the folder of marks.
+
+    Marks are looked up where texts are read: a filter by `marked` before it would be a second Python step of the same
+    task, with a worker of its own, and executors keep all their workers and use them in turn.
+    """
+    wanted = texts.schema["row"].metadata["marks"]
 
     def run(batches):
         for b in batches:
-            held = [shingles(t) for t in b.column(0).to_pylist()]
+            known = among(wanted, b.column(0).to_numpy(zero_copy_only=False))
+            held = [shingles(t) for t in b.column(1).filter(pa.array(known)).to_pylist()]
             node = np.array([_node(h) for h in held], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], ["node", "held"])
             del held
             give_back()
 
-    return texts.select("text").mapInArrow(run, "node long, held array<long>")
+    return texts.select("row", "text").mapInArrow(run, "node long, held array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,7 +217,7 @@ def keep_one(docs: DataFrame, bits: int | None = None) -> DataFrame:
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     buckets = cut(buckets.drop("n").join(weight, "node").select("key", "node", "weight"), "near-buckets")
     wanted = mark(first.join(buckets.select("node").distinct(), "node", "left_semi").select("first.row"))
-    sets = cut(_sets(docs.filter(marked(F.col(row), wanted))), "near-sets")
+    sets = cut(_sets(docs.select(F.col(row).alias("row", metadata={"marks": wanted}), "text")), "near-sets")
     label = links(buckets, sets, None if bits is None else _within_bits(base, bits))
     roots = first.select("node", "first").withColumn("root", F.col("node"))
     if label is not None:

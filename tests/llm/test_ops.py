@@ -520,6 +520,21 @@ def test_near_copies_shuffle_no_texts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_near_copies_take_one_worker_a_task(spark, monkeypatch):
+    """No task runs two Python steps, as an executor keeps and uses all workers that it ever needed at once."""
+    from strandlog.llm import nearcopies as op
+
+    seen, cut = [], op.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(op, "cut", lambda df, label: seen.append((label, plan(df))) or cut(df, label))
+    same = " ".join(f"w{i}" for i in range(60))
+    kept = op.keep_one(table(spark, [same, same + " more", "other words", None]), 2)
+    assert sorted(x.doc_id for x in kept.collect()) == [1, 7, 10]
+    seen.append(("result", plan(kept)))
+    assert [label for label, x in seen if "MapInArrow" in x and "ArrowEvalPython" in x] == []
+    assert any("MapInArrow" in x for _, x in seen) and "ArrowEvalPython" in seen[-1][1]
+
+
 def test_marked_rows(spark):
     from pyspark.sql import functions as F
 
